@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chatformat, exactdedup, licenses, mixing
 from .tokencounts import op2_token_counts
 from .trainorder import op1_training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op2_token_counts": op2_token_counts,
+    "op3_exact_dedup": exactdedup.op3_exact_dedup,
+    "op5_chat_formatting": chatformat.op5_chat_formatting,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op9_source_mixing": mixing.op9_source_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exactdedup.SQL,
+    "op5_chat_formatting": chatformat.SQL,
+    "op7_license_scan": licenses.SQL,
+    "op9_source_mixing": mixing.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
