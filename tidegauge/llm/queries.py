@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chatformat, exactdedup, licenses, mixing
+from . import chatformat, decontaminate, exactdedup, licenses, mixing, neardup
 from .tokencounts import op2_token_counts
 from .trainorder import op1_training_order
 
@@ -15,12 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": exactdedup.op3_exact_dedup,
     "op5_chat_formatting": chatformat.op5_chat_formatting,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_jaccard_join": neardup.op8_jaccard_join,
     "op9_source_mixing": mixing.op9_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exactdedup.SQL,
     "op5_chat_formatting": chatformat.SQL,
+    "op6_decontamination": decontaminate.SQL,
     "op7_license_scan": licenses.SQL,
     "op9_source_mixing": mixing.SQL,
 }
