@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folder of public tokenizer files is a parameter; this is its default file for the token operators.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -52,3 +53,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of (doc_id, text hash) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def fields(df: DataFrame, *without: str) -> list[str]:
+    """Quoted names of the columns, without those of the given names (case aside)."""
+    dropped = {w.lower() for w in without}
+    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in dropped]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, hash of the text) is in ``gone`` (doc_id, key)."""
+    known = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(known, rows["row.doc_id"].eqNullSafe(known["gone_id"]) & (text_key(rows["row.text"]) == known["gone_key"]), "left_anti")
+    return kept.select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import read, written
+from .common import read, text_key, without, written
 
 WINDOW = 13
 #: Bytes of item texts that go out at once.
@@ -37,7 +37,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """A row per block of ``docs`` (doc_id, text): ids, keys (hash of the text), word offsets, terms, postings."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"ids array<{id_type}>, keys array<bigint>, words binary, terms binary, firsts binary, gaps binary"
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +217,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     return hits.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))})
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    return without(docs, contamination(docs, items, width).filter("contaminated").select("doc_id", "key"))
+
+
 def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], span: int) -> DataFrame:
     """(doc_id, query, first word): where all distinct words of a query lie within ``span`` words of one document, any order.
 

@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import svm
 from . import wordbytes as wb
-from .common import read
+from .common import fields, fresh, read
 
 BINS = 1 << 12
 SAMPLE = 3000
@@ -172,15 +173,14 @@ def _lettered(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return found
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred and score; all its columns and rows are kept."""
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and the score, under ``names``; columns of those names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = "_lid_text"
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            column = batch.column(text)
+            column = batch.column("text")
             data, offsets = wb.text_bytes(column)
             for i, j in wb.chunks(offsets, 1 << 20):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -195,13 +195,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     best, sure = m.predict(margins)
                     name[lettered] = np.array(m.languages, object)[best[lettered]]
                     score[lettered] = sure[lettered]
-                kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(name, pa.string()), pa.array(score)], ["row", "language", "sure"])
 
-    from pyspark.sql import types as T
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("language", T.StringType()), T.StructField("sure", T.DoubleType())])
+    found = rows.mapInArrow(classify, schema)
+    return found.select(*(F.col(f"row.{c}") for c in fields(docs, *names)), F.col("language").alias(names[0]), F.col("sure").alias(names[1]))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(classify, schema)
+
+def recognised(docs: DataFrame, model: Model | None, least: float = 0.1) -> DataFrame:
+    """``docs`` without the rows of no language (``und``) or of a score under ``least``."""
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = identify(docs, model, names)
+    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*fields(docs))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import fields, read, written
 
 BLOCK_ROWS = 256
 MOST_BLOCKS = 4096
@@ -89,48 +89,38 @@ def source_weights(shares: DataFrame, *, entropy: float | None = None, repeats:
 
 
 def mix(docs: DataFrame, *, entropy: float | None = None, repeats: float | None = None, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with the columns mix_tokens, mix_weight, mix_block, mix_place (the block's place in its source's order) and
-    mix_uses: how often the row is used."""
-    spark = docs.sparkSession
-    sized = docs.withColumns({"mix_tokens": token_count(F.col("text")), "mix_hash": keyed_hash(seed, F.col("doc_id"))})
-    totals = sized.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows"))
+    """row (a struct of ``docs``' columns), tokens, weight, block, place (the block's in its source's order), uses: how often
+    the row is used."""
+    rows = docs.select(F.struct("*").alias("row"))
+    sized = rows.select("row", F.col("row.source").alias("source"), token_count(F.col("row.text")).alias("n"), keyed_hash(seed, F.col("row.doc_id")).alias("hash"))
+    totals = sized.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
     weights = written(source_weights(written(totals, "mix-totals"), entropy=entropy, repeats=repeats, budget=budget), "mix-weights")
     blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long")
-    plan = weights.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), "quota", "tokens", blocks.alias("blocks"))
-    few = plan.count() <= BROADCAST_BLOCKS
-    narrow = F.broadcast(plan) if few else plan
-    at = F.pmod("mix_hash", "blocks").alias("mix_block")
-    by_block = (
-        sized.select("source", "mix_tokens", "mix_hash").join(narrow, F.col("source").eqNullSafe(F.col("mix_source")))
-        .groupBy("mix_source", at).agg(F.sum("mix_tokens").alias("block_tokens"), F.first("quota").alias("quota"), F.first("tokens").alias("tokens"), F.first("mix_weight").alias("mix_weight"), F.first("blocks").alias("blocks"))
-    )
-    order = Window.partitionBy("mix_source").orderBy(keyed_hash(seed + 1, F.col("mix_source"), F.col("mix_block")), "mix_block")
+    plan = weights.select(F.col("source").alias("own"), "weight", "quota", "tokens", blocks.alias("blocks"))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_BLOCKS else plan
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("own"))).withColumn("block", F.pmod("hash", "blocks"))
+    by_block = joined.groupBy("own", "block").agg(F.sum("n").alias("block_tokens"), F.first("quota").alias("quota"), F.first("tokens").alias("tokens"))
+    order = Window.partitionBy("own").orderBy(keyed_hash(seed + 1, F.col("own"), F.col("block")), "block")
     rest = (F.col("quota") - F.floor("quota")) * F.col("tokens")
-    ranked = by_block.select(
-        "*", F.row_number().over(order).cast("long").alias("mix_place"), rest.alias("rest"),
-        (F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("before"),
-    )
-    table = written(ranked.select(
-        "mix_source", "mix_block", "mix_place", "mix_weight", F.floor("quota").alias("whole"), (F.col("rest") - F.col("before")).alias("left"), "block_tokens",
-    ), "mix-blocks")
-    small = table.count() <= BROADCAST_BLOCKS
-    placed = sized.join(narrow.select("mix_source", F.col("blocks")), F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source").withColumn("mix_block", F.pmod("mix_hash", "blocks"))
-    right = table.select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "mix_place", "mix_weight", "whole", "left", "block_tokens")
-    placed = placed.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")))
-    # a source has one block that is used in part at most
-    partial = (F.col("left") > 0) & (F.col("left") < F.col("block_tokens"))
-    inside = Window.partitionBy("source").orderBy(keyed_hash(seed + 2, F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.filter(partial).withColumn("more", (F.sum("mix_tokens").over(inside) <= F.col("left")).cast("long"))
-    even = placed.filter(~partial).withColumn("more", (F.col("left") > 0).cast("long"))
-    out = even.unionByName(cut).withColumn("mix_uses", F.col("whole").cast("long") + F.col("more"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "mix_tokens", "mix_weight", "mix_block", "mix_place", "mix_uses")
+    before = F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")
+    table = written(by_block.select(
+        F.col("own").alias("of"), F.col("block").alias("at"), F.row_number().over(order).cast("long").alias("place"),
+        F.floor("quota").cast("long").alias("whole"), (rest - before).alias("room"), "block_tokens"), "mix-blocks")
+    right = F.broadcast(table) if table.count() <= BROADCAST_BLOCKS else table
+    placed = joined.join(right, F.col("own").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    # a source has one block at most that is used in part
+    partial = (F.col("room") > 0) & (F.col("room") < F.col("block_tokens"))
+    inside = Window.partitionBy("own").orderBy(keyed_hash(seed + 2, F.col("row.doc_id")), "row.doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    cut = placed.filter(partial).withColumn("more", (F.sum("n").over(inside) <= F.col("room")).cast("long"))
+    even = placed.filter(~partial).withColumn("more", (F.col("room") > 0).cast("long"))
+    return even.unionByName(cut).select("row", F.col("n").alias("tokens"), "weight", "block", "place", (F.col("whole") + F.col("more")).alias("uses"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``, every row as often as the mix uses it."""
     used = mix(docs, **options)
-    times = F.explode(F.when(F.col("mix_uses") > 0, F.sequence(F.lit(1), F.col("mix_uses").cast("int"))).otherwise(F.array().cast("array<int>")))
-    return used.select(*(F.col(f"`{c}`") for c in docs.columns), times.alias("mix_epoch")).drop("mix_epoch")
+    times = F.when(F.col("uses") > 0, F.sequence(F.lit(1), F.col("uses").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return used.select("row", F.explode(times).alias("epoch")).select(*(F.col(f"row.{c}") for c in fields(docs)))
 
 
 #: Production parameters of the query: 0.95 of the largest entropy, each source at most 4 times.
@@ -140,7 +130,7 @@ ENTROPY, REPEATS = 0.95, 4.0
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, entropy=ENTROPY, repeats=REPEATS).select(
-        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_block").alias("block"), F.col("mix_place").alias("place"), F.col("mix_uses").alias("uses"))
+        "row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "block", "place", "uses")
 
 
 SQL = rf"""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import read, written
+from .common import read, text_key, without, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -57,7 +57,7 @@ def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES, deepest: int = DEEPEST) -> DataFrame:
     """Per row: doc_id, key (hash of the text), digest of its words (null without words), n_words, signature."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    source = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     a, b = _multipliers(trees * deepest)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its class), class_size, n_links (rows it is
-    linked with, copies included), n_texts (different texts it is linked with)."""
+    linked with, copies included), n_texts (different texts it is linked with); key and keep_key are the hashes of the row's
+    text and of the class's smallest row's."""
     depth = prefix_depth(trees, deepest, threshold, recall)
     signed = written(signatures(docs, width, trees, deepest), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
@@ -245,19 +246,33 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = T
     stars = written(_verified(tiles, trees, deepest, depth, threshold), "stars")
     labels = components(stars.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     counted = stars.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    base = texts.select("digest", "copies", "doc_id")
+    base = texts.select("digest", "copies", "doc_id", "key")
     joined = labels.withColumnRenamed("node", "digest").join(base, "digest")
-    groups = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    linked = joined.select("digest", "label").join(groups, "label").join(counted, "digest").select("digest", "class_id", "class_size", "links", "texts")
+    groups = joined.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("keep"), F.sum("copies").alias("class_size"))
+    linked = joined.select("digest", "label").join(groups, "label").join(counted, "digest").select("digest", "keep", "class_size", "links", "texts")
     settled = base.join(linked, "digest", "left").select(
-        F.col("digest").alias("d"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"),
+        F.col("digest").alias("d"), F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_id"), F.coalesce("keep.key", "key").alias("keep_key"), F.coalesce("class_size", "copies").alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
     settled = written(settled, "classes")
-    some = signed.filter("digest IS NOT NULL").select("doc_id", "digest")
-    out = some.join(settled, F.col("digest") == F.col("d")).select("doc_id", "class_id", "class_size", "n_links", "n_texts")
-    none = signed.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
+    some = signed.filter("digest IS NOT NULL").select("doc_id", "digest", "key")
+    out = some.join(settled, F.col("digest") == F.col("d")).select("doc_id", "class_id", "class_size", "n_links", "n_texts", "key", "keep_key")
+    none = signed.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"), "key", F.col("key").alias("keep_key"))
     return out.union(none)
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: the one that names it; of repeated rows, one."""
+    found = written(near_duplicates(docs, **options), "near-classes")
+    keeps = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("keep_key"))
+    rest = without(docs, found.filter(~keeps))
+    twice = written(found.filter(keeps & (F.col("class_size") > 1)).groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key"), "repeated")
+    if not twice.limit(1).count():
+        return rest
+    rows = rest.select(F.struct("*").alias("row"))
+    again = rows.join(twice, rows["row.doc_id"].eqNullSafe(twice["doc_id"]) & (text_key(rows["row.text"]) == twice["key"]))
+    first = again.groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return without(rest, twice).unionByName(first)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("key", "keep_key")
