@@ -1,6 +1,6 @@
 """Every core query by name, and its SQL."""
 
-from . import pipeline
+from . import pipeline, trends
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "pipeline"]
+__all__ = ["ORACLES", "QUERIES", "pipeline", "trends"]
