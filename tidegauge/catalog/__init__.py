@@ -1,6 +1,6 @@
 """Every core query by name, and its SQL."""
 
-from . import pipeline, trends
+from . import designs, pipeline, trends
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "pipeline", "trends"]
+__all__ = ["ORACLES", "QUERIES", "designs", "pipeline", "trends"]
