@@ -1,6 +1,6 @@
 """Every core query by name, and its SQL."""
 
-from . import designs, misc, pipeline, trends
+from . import designs, extras, misc, pipeline, trends
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "designs", "misc", "pipeline", "trends"]
+__all__ = ["ORACLES", "QUERIES", "designs", "extras", "misc", "pipeline", "trends"]

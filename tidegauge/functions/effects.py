@@ -124,6 +124,45 @@ def sitewide(moments: DataFrame, control: str, volume: DataFrame) -> DataFrame:
     return both.select("group_id", delta.alias("delta"), (delta * F.col("n_site")).alias("impact"), (delta * F.col("n_site") / base).alias("relative_impact"), (F.abs(F.col("n_site") * F.col("total") / (base * base)) * se).alias("relative_se"))
 
 
+def sitewide_ratio(moments: DataFrame, control: str, volume: DataFrame) -> DataFrame:
+    """Impact on a site-wide ratio: volume has num, den (observed site totals) and n_site; each arm's per-unit numerator and
+    denominator effects are taken out of the site, then given to all of it: N1/D1 - N0/D0, with the delta-method error."""
+    both = arms_side_by_side(moments, control).crossJoin(F.broadcast(volume))  # one row
+    a, b = F.col("t_ref_y") - F.col("c_ref_y"), F.col("t_ref_den") - F.col("c_ref_den")
+    n0, d0 = F.col("num") - a * F.col("t_n"), F.col("den") - b * F.col("t_n")
+    n1, d1 = n0 + a * F.col("n_site"), d0 + b * F.col("n_site")
+    var = lambda c: sum((F.col(f"{p}_{c}") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n") for p in ("t", "c")), F.lit(0.0))
+    ga = (F.col("n_site") - F.col("t_n")) / d1 + F.col("t_n") / d0
+    gb = -n1 * (F.col("n_site") - F.col("t_n")) / (d1 * d1) - n0 * F.col("t_n") / (d0 * d0)
+    se = F.sqrt(ga * ga * var("cy2") + 2 * ga * gb * var("cyden") + gb * gb * var("cden2"))
+    return both.select("group_id", (n0 / d0).alias("without"), (n1 / d1).alias("with_all"), (n1 / d1 - n0 / d0).alias("impact"), se.alias("se"))
+
+
+def ratio_cuped(moments: DataFrame, control: str, alpha: float = 0.05) -> DataFrame:
+    """Ratio of sums with numerator and denominator adjusted by their own slopes on one shared covariate."""
+    z = norm_ppf(1 - alpha / 2)
+    both = arms_side_by_side(moments, control)
+    v = lambda p, c: F.col(f"{p}_{c}") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n")
+    wt = F.col("t_n") / (F.col("t_n") + F.col("c_n"))
+    both = both.withColumns({"_vx": v("t", "cx2") + v("c", "cx2"), "_cy": v("t", "cxy") + v("c", "cxy"), "_cd": v("t", "cxden") + v("c", "cxden"), "anchor": wt * F.col("t_ref_x") + (1 - wt) * F.col("c_ref_x")})
+    both = both.withColumns({"theta_y": F.col("_cy") / F.nullif("_vx", F.lit(0.0)), "theta_den": F.col("_cd") / F.nullif("_vx", F.lit(0.0))})
+    part = lambda p, ref, theta: F.col(f"{p}_{ref}") - F.col(theta) * (F.col(f"{p}_ref_x") - F.col("anchor"))
+    mean = {p: (part(p, "ref_y", "theta_y"), part(p, "ref_den", "theta_den")) for p in "tc"}
+    # the slope of each arm's log ratio on its mean of x, and through the anchor on the other arm's
+    g = {p: F.col("theta_y") / mean[p][0] - F.col("theta_den") / mean[p][1] for p in "tc"}
+
+    def square(p: str, slope: Column) -> Column:
+        y, d = 1 / mean[p][0], -1 / mean[p][1]
+        return y * y * v(p, "cy2") + d * d * v(p, "cden2") + slope * slope * v(p, "cx2") + 2 * y * d * v(p, "cyden") + 2 * y * slope * v(p, "cxy") + 2 * d * slope * v(p, "cxden")
+
+    # in units of each arm: log ratio of t minus that of c
+    st = -g["t"] * (1 - wt) - g["c"] * wt
+    sc = -g["c"] * wt - g["t"] * (1 - wt)
+    se = F.sqrt(square("t", st) + square("c", sc))
+    log = stable_log_ratio(mean["t"][0] / mean["t"][1], mean["c"][0] / mean["c"][1])
+    return both.select("group_id", (mean["t"][0] / mean["t"][1]).alias("ratio_treatment"), (mean["c"][0] / mean["c"][1]).alias("ratio_control"), F.expm1(log).alias("lift"), se.alias("se"), F.expm1(log - z * se).alias("lb"), F.expm1(log + z * se).alias("ub"))
+
+
 def count_boundary(n: Column, alpha: float, rho: float, directional: bool = False) -> Column:
     """Anytime-valid squared-score boundary (1 + L/n)(log1p(n/L) - 2 log alpha), L = 1/rho^2."""
     import math

@@ -52,3 +52,14 @@ def decide(readouts: list[dict]) -> dict:
             wins.append(r["metric"])
     verdict = "stop" if breaches or losses else "ship" if wins and not open_ else "hold"
     return {"verdict": verdict, "wins": wins, "losses": losses, "breaches": breaches, "undecided": open_}
+
+
+def exploratory(rows: list[dict], q: float = 0.1) -> list[dict]:
+    """One family over all metrics and segments of an exploration: selected by BH, re-intervalled at the false coverage rate."""
+    from .distributions import norm_ppf
+
+    known = [r for r in rows if r.get("p") is not None]
+    chosen = bh([r["p"] for r in known], q) if known else []
+    z = norm_ppf(1 - fcr_alpha(sum(chosen), max(1, len(known)), q) / 2)
+    picked = {id(r) for r, c in zip(known, chosen, strict=True) if c}
+    return [{**r, "selected": id(r) in picked} | ({"lb": r["est"] - z * r["se"], "ub": r["est"] + z * r["se"]} if id(r) in picked else {}) for r in rows]

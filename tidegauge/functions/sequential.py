@@ -53,3 +53,28 @@ def gaussian_sequence(mean: float, variance: float, n: int, prior_var: float, al
     s = variance / n
     half = math.sqrt(2 * (-math.log(alpha) + 0.5 * math.log1p(prior_var / s)) / (1 / s - 1 / (s + prior_var)))
     return mean - half, mean + half
+
+
+class Checkpoints:
+    """Registered looks at one metric: looks come in order, data only grows, and what a look decided stays decided."""
+
+    def __init__(self, alpha: float, rho: float):
+        self.alpha, self.rho, self.looks = alpha, rho, []
+
+    def look(self, at: str, n: int, diff: float, se: float) -> dict:
+        from ..errors import EngineError
+
+        if self.looks and (at <= self.looks[-1]["at"] or n < self.looks[-1]["n"]):
+            raise EngineError("sequential.order", f"look {at!r} with {n} units", at=at, n=n)
+        lb, ub = asymptotic_set(diff, se, n, self.alpha, self.rho)
+        if self.looks:  # intersecting the looks keeps the guarantee
+            lb, ub = max(lb, self.looks[-1]["lb"]), min(ub, self.looks[-1]["ub"])
+        decided = self.looks[-1]["decided"] if self.looks else None
+        row = {"at": at, "n": n, "diff": diff, "lb": lb, "ub": ub, "decided": decided or ("better" if lb > 0 else "worse" if ub < 0 else None)}
+        self.looks.append(row)
+        return row
+
+
+def predeclared(y: float, x: float, beta: float, centre: float) -> float:
+    """An outcome adjusted by a slope and a centre fixed before the data."""
+    return y - beta * (x - centre)
