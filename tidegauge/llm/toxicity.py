@@ -9,7 +9,7 @@ Training, on rows with a label outside the held-out fifth, at most about ``SAMPL
 tokens are counted by the label of their rows; a greedy cover picks the tokens that account for most toxic rows and hardly
 occur in others (labels are of whole texts, the insult is one token of them); these and frequent clean tokens are the
 landmarks; an SVM is fitted on the Nystroem features of cover tokens against clean ones, and once more with the clean
-tokens that scored highest.  A row's margin is the sum of its three highest token margins above the bias, and a sigmoid of
+tokens that scored highest.  A row's margin is the highest of its tokens' margins, 0 at least, and a sigmoid of
 it, fitted on the same rows, is the score.
 
 With landmarks l, Nystroem features and linear weights, a token's margin is a sum over its subsequences of a value that only
@@ -44,7 +44,7 @@ DECAY = 0.6
 _SPAN = 24
 #: (first gap, second gap) of three characters within six bytes.
 _GAPS = [(a, b) for a in range(1, 5) for b in range(1, 5) if a + b <= 5]
-_TOP = 3
+_TOP = 1
 
 
 def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +118,15 @@ def token_kernel_features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 def _kernel(x, y, n: int, m: int) -> np.ndarray:
     """Kernel matrix of two sets of sparse features."""
     codes = np.unique(y[1])
-    dense = np.zeros((len(codes), m))
-    np.add.at(dense, (np.searchsorted(codes, y[1]), y[0]), y[2])
-    at = np.minimum(np.searchsorted(codes, x[1]), len(codes) - 1)
-    ok = np.flatnonzero(codes[at] == x[1]) if len(codes) else np.zeros(0, np.int64)
-    out = np.zeros((n, m))
-    np.add.at(out, x[0][ok], x[2][ok, None] * dense[at[ok]])
-    return out
+    if not len(codes):
+        return np.zeros((n, m))
+
+    def dense(z, rows: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(codes, z[1]), len(codes) - 1)
+        ok = codes[at] == z[1]
+        return np.bincount(z[0][ok] * len(codes) + at[ok], z[2][ok], rows * len(codes)).reshape(rows, len(codes))
+
+    return dense(x, n) @ dense(y, m).T
 
 
 @dataclass
@@ -303,7 +305,7 @@ def _fit(positive: list[bytes], weight: np.ndarray, clean: list[bytes]) -> Model
     features = _kernel(x, y, len(tokens), m) @ root
     label = np.array([1.0] * len(positive) + [-1.0] * len(clean))
     scale = np.concatenate([weight / weight.mean(), np.ones(len(clean))])
-    w = svm.fit_linear(features, label, cost=10.0, weights=scale)
+    w = svm.fit_linear(features, label, cost=30.0, epochs=100, weights=scale)
     beta = root @ w[:-1]
     codes, place = np.unique(y[1], return_inverse=True)
     return Model(codes.astype(np.int64), np.bincount(place, y[2] * beta[y[0]], len(codes)), float(w[-1]), 1.0, 0.0)
