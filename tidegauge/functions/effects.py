@@ -14,14 +14,18 @@ GUARD_COUNT, DENSE_FLOOR, DENSE_SLOPE = 9, 412, 145
 
 
 def arms_side_by_side(moments: DataFrame, control: str, keys: list[str] | None = None) -> DataFrame:
-    """Every arm's row beside the control's: columns t_* and c_*, with ``keys`` (segments, days) equal."""
+    """Every treated arm's row beside the control's: columns t_* and c_*, with ``keys`` (segments, days) equal.
+
+    The arms of a key (a few rows) are gathered once, so what made the moments runs once: a self-join would run it twice,
+    as the filters on the arm are pushed below the aggregation.
+    """
     keys = keys or []
     values = [c for c in moments.columns if c not in ("group_id", *keys)]
-    c = moments.filter(F.col("group_id") == control).select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(v).alias(f"c_{v}") for v in values))
-    t = moments.filter(F.col("group_id") != control).select(*keys, "group_id", *(F.col(v).alias(f"t_{v}") for v in values))
-    if not keys:
-        return t.crossJoin(F.broadcast(c))  # one row
-    return t.join(c, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*(f"_k_{k}" for k in keys))
+    arms = moments.groupBy(*keys).agg(F.collect_list(F.struct("group_id", *values)).alias("_arms"))
+    own = F.get(F.filter("_arms", lambda a: a["group_id"] == control), F.lit(0))
+    others = F.explode(F.filter("_arms", lambda a: a["group_id"] != control))
+    paired = arms.select(*keys, own.alias("_c"), others.alias("_t")).filter("_c IS NOT NULL")
+    return paired.select(*keys, F.col("_t.group_id").alias("group_id"), *(F.col(f"_t.{v}").alias(f"t_{v}") for v in values), *(F.col(f"_c.{v}").alias(f"c_{v}") for v in values))
 
 
 def variance(p: str, square: str = "cy2") -> Column:
@@ -174,8 +178,9 @@ def count_boundary(n: Column, alpha: float, rho: float, directional: bool = Fals
 
 def asymptotic_sequence(asof: DataFrame, control: str, alpha: float = 0.05, rho: float = 0.1) -> DataFrame:
     """Per look (ds): the difference of means and its confidence sequence's half-width."""
-    diff = absolute_difference(asof, control, ["ds"])
-    both = arms_side_by_side(asof, control, ["ds"]).select("ds", "group_id", (F.col("t_n") + F.col("c_n")).alias("n"))
-    out = diff.join(both, ["ds", "group_id"])
+    both = arms_side_by_side(asof, control, ["ds"])
+    n = (F.col("t_n") + F.col("c_n")).alias("n")
+    se = F.sqrt(variance("t") / F.col("t_n") + variance("c") / F.col("c_n"))
+    out = both.select("ds", "group_id", n, (F.col("t_ref_y") - F.col("c_ref_y")).alias("diff"), se.alias("se"))
     half = F.col("se") * F.sqrt(count_boundary(F.col("n").cast("double"), alpha, rho))
     return out.select("ds", "group_id", "n", "diff", "se", half.alias("half_width"), (F.col("diff") - half).alias("lb"), (F.col("diff") + half).alias("ub"))

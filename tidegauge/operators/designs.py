@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.distributions import binom_sf, norm_ppf
+from ..functions.effects import arms_side_by_side
 
 # --- switchback -------------------------------------------------------------------------------------------------------
 
@@ -77,9 +78,10 @@ def factor_summary(totals: DataFrame, factor: str) -> DataFrame:
 
 def absorbed_effect(levels: DataFrame, factor: str, control: str) -> DataFrame:
     """Hard pooling: the within-level difference, weighted by n_t n_c / (n_t + n_c), with a level-clustered error."""
-    t = levels.filter(F.col("group_id") != control).select(F.col(factor).alias("f"), F.col("n").alias("nt"), F.col("mean").alias("mt"))
-    c = levels.filter(F.col("group_id") == control).select(F.col(factor).alias("f"), F.col("n").alias("nc"), F.col("mean").alias("mc"))
-    pair = t.join(c, "f").filter("nt >= 2 AND nc >= 2").withColumn("w", F.col("nt") * F.col("nc") / (F.col("nt") + F.col("nc"))).withColumn("d", F.col("mt") - F.col("mc"))
+    part = lambda on, c: F.max(F.when(on, F.col(c)))
+    on, off = F.col("group_id") != control, F.col("group_id") == control
+    pair = levels.groupBy(F.col(factor).alias("f")).agg(part(on, "n").alias("nt"), part(on, "mean").alias("mt"), part(off, "n").alias("nc"), part(off, "mean").alias("mc")).filter("nt >= 2 AND nc >= 2")
+    pair = pair.withColumn("w", F.col("nt") * F.col("nc") / (F.col("nt") + F.col("nc"))).withColumn("d", F.col("mt") - F.col("mc"))
     est = pair.agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("effect"), F.sum("w").alias("total"), F.count("*").alias("levels"))
     both = pair.crossJoin(F.broadcast(est))  # one row
     k = F.max("levels")
@@ -167,10 +169,9 @@ def quantile_arms(units: DataFrame, q: float, alpha: float = 0.05) -> DataFrame:
 def quantile_lift(units: DataFrame, q: float, control: str, alpha: float = 0.05) -> DataFrame:
     arms = quantile_arms(units, q, alpha)
     z = norm_ppf(1 - alpha / 2)
-    c = arms.filter(F.col("group_id") == control).select(F.col("point").alias("pc"), F.col("log_se").alias("sc"))
-    t = arms.filter(F.col("group_id") != control).crossJoin(F.broadcast(c))  # one row
-    se, log = F.sqrt(F.col("log_se") ** 2 + F.col("sc") ** 2), F.log(F.col("point") / F.col("pc"))
-    return t.select("group_id", "point", F.col("pc").alias("point_control"), F.expm1(log).alias("lift"), se.alias("se"), F.expm1(log - z * se).alias("lb"), F.expm1(log + z * se).alias("ub"))
+    t = arms_side_by_side(arms, control)
+    se, log = F.sqrt(F.col("t_log_se") ** 2 + F.col("c_log_se") ** 2), F.log(F.col("t_point") / F.col("c_point"))
+    return t.select("group_id", F.col("t_point").alias("point"), F.col("c_point").alias("point_control"), F.expm1(log).alias("lift"), se.alias("se"), F.expm1(log - z * se).alias("lb"), F.expm1(log + z * se).alias("ub"))
 
 
 # --- multiplicity -----------------------------------------------------------------------------------------------------
