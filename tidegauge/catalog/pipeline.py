@@ -163,7 +163,7 @@ def ratio_summary(spark, sf):
 
 @query(_RATIO + """, a AS (SELECT group_id, count(*) AS n, avg(y) AS my, avg(d) AS md, var_samp(y) AS vy, var_samp(d) AS vd, covar_samp(y, d) AS c FROM t GROUP BY 1),
 b AS (SELECT *, my / md AS r, (vy / (my * my) + vd / (md * md) - 2 * c / (my * md)) / n AS vl, (vy - 2 * my / md * c + my / md * my / md * vd) / (n * md * md) AS va, sqrt(vd / n) / md AS pr FROM a)
-SELECT t.group_id, round(t.r, 6) AS ratio_treatment, round(c.r, 6) AS ratio_control, round(greatest(t.pr, c.pr), 6) AS denominator_precision, round(t.r / c.r - 1, 6) AS lift, round(sqrt(t.vl + c.vl), 6) AS se, round(t.r - c.r, 6) AS diff, round(sqrt(t.va + c.va), 6) AS diff_se FROM b t, b c WHERE t.group_id = 'treatment' AND c.group_id = 'control'""")
+SELECT t.group_id, round(t.r, 6) AS ratio_treatment, round(c.r, 6) AS ratio_control, round(greatest(t.pr, c.pr), 6) AS denominator_precision, CASE WHEN sqrt(t.vl + c.vl) < 0.5 THEN round(t.r / c.r - 1, 6) END AS lift, CASE WHEN sqrt(t.vl + c.vl) < 0.5 THEN round(sqrt(t.vl + c.vl), 6) END AS se, round(t.r - c.r, 6) AS diff, round(sqrt(t.va + c.va), 6) AS diff_se FROM b t, b c WHERE t.group_id = 'treatment' AND c.group_id = 'control'""")
 def lift_ratio(spark, sf):
     m = M.group_summary(_ratio(spark, sf))
     a = E.ratio_lift(m, "control").select("group_id", "ratio_treatment", "ratio_control", "denominator_precision", "lift", "se")

@@ -29,14 +29,14 @@ def arms_side_by_side(moments: DataFrame, control: str, keys: list[str] | None =
 
 
 def variance(p: str, square: str = "cy2") -> Column:
-    return F.col(f"{p}_{square}") / (F.col(f"{p}_n") - 1)
+    return F.try_divide(F.col(f"{p}_{square}"), F.col(f"{p}_n") - 1)
 
 
 def relative_lift(moments: DataFrame, control: str, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """lift, se (of the log ratio), lb and ub; ``reason`` where it can't be had: a mean or an error at or below 0, or too wide."""
     z = norm_ppf(1 - alpha / 2)
     both = arms_side_by_side(moments, control, keys)
-    se2 = lambda p: variance(p) / (F.col(f"{p}_n") * F.col(f"{p}_ref_y") * F.col(f"{p}_ref_y"))
+    se2 = lambda p: F.try_divide(variance(p), F.col(f"{p}_n") * F.col(f"{p}_ref_y") * F.col(f"{p}_ref_y"))
     se = F.sqrt(se2("t") + se2("c"))
     point = stable_log_ratio(F.col("t_ref_y"), F.col("c_ref_y"))
     reason = (
@@ -54,14 +54,14 @@ def absolute_difference(moments: DataFrame, control: str, keys: list[str] | None
     """diff, se and Welch-Satterthwaite degrees of freedom."""
     both = arms_side_by_side(moments, control, keys)
     a, b = variance("t") / F.col("t_n"), variance("c") / F.col("c_n")
-    df = (a + b) * (a + b) / (a * a / (F.col("t_n") - 1) + b * b / (F.col("c_n") - 1))
+    df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("t_n") - 1) + F.try_divide(b * b, F.col("c_n") - 1))
     return both.select(*(keys or []), "group_id", (F.col("t_ref_y") - F.col("c_ref_y")).alias("diff"), F.sqrt(a + b).alias("se"), df.alias("df"))
 
 
 def _ratio_parts(p: str) -> tuple[Column, Column, Column]:
     """(ratio, variance of its log, variance of it) of one arm."""
-    n, num, den = F.col(f"{p}_n"), F.col(f"{p}_ref_y"), F.col(f"{p}_ref_den")
-    vn, vd, cov = (F.col(f"{p}_{c}") / (n - 1) for c in ("cy2", "cden2", "cyden"))
+    n, num, den = F.col(f"{p}_n"), F.nullif(F.col(f"{p}_ref_y"), F.lit(0.0)), F.nullif(F.col(f"{p}_ref_den"), F.lit(0.0))
+    vn, vd, cov = (F.try_divide(F.col(f"{p}_{c}"), n - 1) for c in ("cy2", "cden2", "cyden"))
     r = num / den
     return r, (vn / (num * num) + vd / (den * den) - 2 * cov / (num * den)) / n, (vn - 2 * r * cov + r * r * vd) / (n * den * den)
 
@@ -71,7 +71,7 @@ def ratio_lift(moments: DataFrame, control: str, alpha: float = 0.05, keys: list
     z = norm_ppf(1 - alpha / 2)
     both = arms_side_by_side(moments, control, keys)
     (rt, vt, _), (rc, vc, _) = _ratio_parts("t"), _ratio_parts("c")
-    precision = lambda p: F.sqrt(F.col(f"{p}_cden2") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n")) / F.col(f"{p}_ref_den")
+    precision = lambda p: F.try_divide(F.sqrt(F.try_divide(F.col(f"{p}_cden2"), F.col(f"{p}_n") - 1) / F.col(f"{p}_n")), F.col(f"{p}_ref_den"))
     reason = F.when((F.col("t_ref_den") <= 0) | (F.col("c_ref_den") <= 0), "denominator_not_positive").when((rt <= 0) | (rc <= 0), "ratio_not_positive").when(F.sqrt(vt + vc) >= MAX_LOG_SE, "too_wide")
     return _log_scale(both.select(*(keys or []), "group_id", rt.alias("ratio_treatment"), rc.alias("ratio_control"), F.greatest(precision("t"), precision("c")).alias("denominator_precision"), reason.alias("reason"), stable_log_ratio(rt, rc).alias("_p"), F.sqrt(vt + vc).alias("_s")), z)
 
@@ -87,7 +87,7 @@ def cuped(moments: DataFrame, control: str, alpha: float = 0.05) -> DataFrame:
     pooled mean of x; the difference's error is of the residuals, the lift's takes the moving anchor into account."""
     z = norm_ppf(1 - alpha / 2)
     both = arms_side_by_side(moments, control)
-    v = lambda p, c: F.col(f"{p}_{c}") / (F.col(f"{p}_n") - 1)
+    v = lambda p, c: F.try_divide(F.col(f"{p}_{c}"), F.col(f"{p}_n") - 1)
     live = lambda p, c: F.when(F.col(f"{p}_cx2") > 0, v(p, c) / F.col(f"{p}_n")).otherwise(0.0)
     wt = F.col("t_n") / (F.col("t_n") + F.col("c_n"))
     wc = 1 - wt
@@ -107,8 +107,8 @@ def late(moments: DataFrame, control: str, keys: list[str] | None = None) -> Dat
     """Intent to treat, first stage and their ratio with a delta-method error, from moments with a masked uptake."""
     both = arms_side_by_side(moments, control, keys)
     d = lambda p: F.col(f"{p}_sum_d") / F.col(f"{p}_n")
-    var_d = lambda p: d(p) * (1 - d(p)) / (F.col(f"{p}_n") - 1)
-    cov = lambda p: F.col(f"{p}_cyd") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n")
+    var_d = lambda p: F.try_divide(d(p) * (1 - d(p)), F.col(f"{p}_n") - 1)
+    cov = lambda p: F.try_divide(F.col(f"{p}_cyd"), F.col(f"{p}_n") - 1) / F.col(f"{p}_n")
     a, b = F.col("t_ref_y") - F.col("c_ref_y"), d("t") - d("c")
     va = variance("t") / F.col("t_n") + variance("c") / F.col("c_n")
     vb, cab = var_d("t") + var_d("c"), cov("t") + cov("c")
@@ -135,7 +135,7 @@ def sitewide_ratio(moments: DataFrame, control: str, volume: DataFrame) -> DataF
     a, b = F.col("t_ref_y") - F.col("c_ref_y"), F.col("t_ref_den") - F.col("c_ref_den")
     n0, d0 = F.col("num") - a * F.col("t_n"), F.col("den") - b * F.col("t_n")
     n1, d1 = n0 + a * F.col("n_site"), d0 + b * F.col("n_site")
-    var = lambda c: sum((F.col(f"{p}_{c}") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n") for p in ("t", "c")), F.lit(0.0))
+    var = lambda c: sum((F.try_divide(F.col(f"{p}_{c}"), F.col(f"{p}_n") - 1) / F.col(f"{p}_n") for p in ("t", "c")), F.lit(0.0))
     ga = (F.col("n_site") - F.col("t_n")) / d1 + F.col("t_n") / d0
     gb = -n1 * (F.col("n_site") - F.col("t_n")) / (d1 * d1) - n0 * F.col("t_n") / (d0 * d0)
     se = F.sqrt(ga * ga * var("cy2") + 2 * ga * gb * var("cyden") + gb * gb * var("cden2"))
@@ -146,7 +146,7 @@ def ratio_cuped(moments: DataFrame, control: str, alpha: float = 0.05) -> DataFr
     """Ratio of sums with numerator and denominator adjusted by their own slopes on one shared covariate."""
     z = norm_ppf(1 - alpha / 2)
     both = arms_side_by_side(moments, control)
-    v = lambda p, c: F.col(f"{p}_{c}") / (F.col(f"{p}_n") - 1) / F.col(f"{p}_n")
+    v = lambda p, c: F.try_divide(F.col(f"{p}_{c}"), F.col(f"{p}_n") - 1) / F.col(f"{p}_n")
     wt = F.col("t_n") / (F.col("t_n") + F.col("c_n"))
     both = both.withColumns({"_vx": v("t", "cx2") + v("c", "cx2"), "_cy": v("t", "cxy") + v("c", "cxy"), "_cd": v("t", "cxden") + v("c", "cxden"), "anchor": wt * F.col("t_ref_x") + (1 - wt) * F.col("c_ref_x")})
     both = both.withColumns({"theta_y": F.col("_cy") / F.nullif("_vx", F.lit(0.0)), "theta_den": F.col("_cd") / F.nullif("_vx", F.lit(0.0))})

@@ -47,4 +47,4 @@ def ratio(a: Column, b: Column) -> Column:
 def stable_log_ratio(treated: Column, control: Column) -> Column:
     """log(treated / control), by log1p of the relative difference where they are within a factor of two."""
     close = (treated < 2 * control) & (control < 2 * treated)
-    return F.when(close, F.log1p((treated - control) / control)).otherwise(F.log(treated) - F.log(control))
+    return F.when(close, F.log1p(F.try_divide(treated - control, control))).otherwise(F.log(treated) - F.log(control))
