@@ -20,7 +20,7 @@ from . import wordbytes as wb
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: Pieces kept by a worker before the cache starts anew.
-CACHE_PIECES = 1 << 21
+CACHE_PIECES = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +124,7 @@ class PieceTable:
     def clear(self) -> None:
         self.mask = (CACHE_PIECES << 1) - 1
         self.key = np.zeros(self.mask + 1, np.uint64)
-        self.at = np.zeros(self.mask + 1, np.int64)
+        self.at = np.zeros(self.mask + 1, np.int32)
         self.length = np.zeros(self.mask + 1, np.int32)
         self.pool = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.filled = self.used = 0

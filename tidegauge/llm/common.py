@@ -36,19 +36,71 @@ def shared_folder(spark: SparkSession) -> str:
     return there
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+#: Intermediate tables of this driver, for `drop_intermediates`.
+_made: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(at)
+    return at
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what the operators have written so far, for a caller that has materialised their results."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    at = new_path(spark, name)
+    at = new_path(spark, name, keep)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of an Arrow batch: the JVM, the pipe and the Python worker each hold one, so memory follows it and not the text lengths.
+ARROW_BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to ARROW_BATCH_BYTES; a smaller setting stays."""
+    spark = df.sparkSession
+    text = str(spark.conf.get(_BATCH_SETTING, "64m")).lower().removesuffix("b")
+    size = int(text[:-1]) << {"k": 10, "m": 20, "g": 30}[text[-1]] if text and text[-1] in "kmg" else int(text or 0)
+    if not 0 < size <= ARROW_BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(ARROW_BATCH_BYTES))
+    return df
+
+
+def released(f):
+    """An Arrow function that gives freed memory back to the system now and then and when its partition ends: workers are kept for later tasks."""
+
+    def release():
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    def run(batches):
+        for k, out in enumerate(f(batches)):
+            yield out
+            if k % 16 == 15:
+                release()
+        release()
+
+    return run
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import read, text_key, without, written
+from .common import bounded_batches, read, released, text_key, without, written
 
 WINDOW = 13
 #: Bytes of item texts that go out at once.
@@ -52,7 +52,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 lists = [pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(batch.column(c).type)) for c in ("doc_id", "key")]
                 yield pa.RecordBatch.from_arrays([*lists, *row], ["ids", "keys", "words", "terms", "firsts", "gaps"])
 
-    return written(source.mapInArrow(build, schema), "postings")
+    return written(source.transform(bounded_batches).mapInArrow(released(build), schema), "postings")
 
 
 @dataclass
@@ -191,7 +191,7 @@ def _hits(index: DataFrame, queries: Queries) -> DataFrame:
                      pa.array(np.diff(words)), pa.array(hit[words[1:]] - hit[words[:-1]]), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                     ["doc_id", "key", "block", "place", "n_words", "n_hit", "spans", "items"])
 
-    return index.mapInArrow(probe, f"doc_id {id_type}, key long, block long, place long, n_words long, n_hit long, spans array<int>, items array<string>")
+    return index.transform(bounded_batches).mapInArrow(released(probe), f"doc_id {id_type}, key long, block long, place long, n_words long, n_hit long, spans array<int>, items array<string>")
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -251,7 +251,7 @@ def proximity_matches(index: DataFrame, queries: list[tuple[str, str]], span: in
                         d = doc[ok]
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([name] * len(d)), pa.array(starts[ok] - block.words[d])], ["doc_id", "query", "first_word"])
 
-    return index.mapInArrow(probe, f"doc_id {id_type}, query string, first_word long")
+    return index.transform(bounded_batches).mapInArrow(released(probe), f"doc_id {id_type}, query string, first_word long")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

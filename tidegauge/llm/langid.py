@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import svm
 from . import wordbytes as wb
-from .common import fields, fresh, read
+from .common import bounded_batches, fields, fresh, read, released
 
 BINS = 1 << 12
 SAMPLE = 3000
@@ -132,7 +132,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array(made, pa.binary())], ["lang", "x"])
 
     # about ``sample`` rows of 16 KB
-    got = rows.filter(wanted).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(features, "lang string, x binary").collect()
+    got = rows.filter(wanted).select("lang", F.col("text").cast("string").alias("text")).transform(bounded_batches).mapInArrow(released(features), "lang string, x binary").collect()
     if not got:
         return None
     x = np.stack([np.frombuffer(r.x, "<f4") for r in got])
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("la
         for batch in batches:
             column = batch.column("text")
             data, offsets = wb.text_bytes(column)
-            for i, j in wb.chunks(offsets, 1 << 20):
+            for i, j in wb.chunks(offsets):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 lettered = _lettered(column.slice(i, j - i), d, o)
                 name, score = np.full(j - i, "und", object), np.zeros(j - i)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("la
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("language", T.StringType()), T.StructField("sure", T.DoubleType())])
-    found = rows.mapInArrow(classify, schema)
+    found = rows.transform(bounded_batches).mapInArrow(released(classify), schema)
     return found.select(*(F.col(f"row.{c}") for c in fields(docs, *names)), F.col("language").alias(names[0]), F.col("sure").alias(names[1]))
 
 

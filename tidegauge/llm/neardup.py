@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import read, text_key, without, written
+from .common import bounded_batches, read, released, text_key, without, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES, deepest:
                     signature[r] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i), pa.array(digest, pa.binary()), pa.array(np.diff(at)), pa.array(signature, pa.binary())], ["doc_id", "key", "digest", "n_words", "signature"])
 
-    return source.mapInArrow(sign, f"doc_id {id_type}, key bigint, digest binary, n_words bigint, signature binary")
+    return source.transform(bounded_batches).mapInArrow(released(sign), f"doc_id {id_type}, key bigint, digest binary, n_words bigint, signature binary")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(shingle[shingle_at[r] : shingle_at[r + 1]]).astype("<u8").tobytes() for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return docs.mapInArrow(cut, "digest binary, shingles binary")
+    return docs.transform(bounded_batches).mapInArrow(released(cut), "digest binary, shingles binary")
 
 
 def _intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
             yield batch_of(found)
 
     dealt = tiles.repartition("tree", "node", "low", "high").sortWithinPartitions("tree", "node", "low", "high")
-    return dealt.select("tree", "node", "low", "high", "part", "digest", "copies", "signature", "shingles").mapInArrow(verify, "digest binary, root binary, links bigint, texts bigint")
+    return dealt.select("tree", "node", "low", "high", "part", "digest", "copies", "signature", "shingles").transform(bounded_batches).mapInArrow(released(verify), "digest binary, root binary, links bigint, texts bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

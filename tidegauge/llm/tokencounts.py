@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import read, tokenizer_path
+from .common import bounded_batches, read, released, tokenizer_path
 
 
 def count_at(text: bytes, lengths: np.ndarray, counts: np.ndarray, cut: int, tokens: bpe.PieceTable) -> int:
@@ -109,7 +109,7 @@ def token_prefixes(docs: DataFrame, *, path: str | None = None, limit: int = 512
                     names += ["piece_bytes", "piece_tokens"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, T.StructType(fields))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(bounded_batches).mapInArrow(released(count), T.StructType(fields))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import svm
 from . import wordbytes as wb
-from .common import fields, read, written
+from .common import bounded_batches, fields, read, released, written
 from .langid import held_out
 
 SAMPLE = 12_000
@@ -184,12 +184,12 @@ def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
         tables = m.table()
         for batch in batches:
             data, offsets = wb.text_bytes(batch.column(batch.num_columns - 1))
-            for i, j in wb.chunks(offsets, 1 << 20):
+            for i, j in wb.chunks(offsets):
                 found = m.row_margins(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tables)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)), pa.array(found)], [*batch.schema.names[:-1], name])
 
     fields = [f for f in docs.schema.fields if f.name != "_tox_text"]
-    return docs.select(*(f.name for f in fields), "_tox_text").mapInArrow(score, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return docs.select(*(f.name for f in fields), "_tox_text").transform(bounded_batches).mapInArrow(released(score), T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = wb.text_bytes(batch.column("text"))
-            for i, j in wb.chunks(offsets, 1 << 20):
+            for i, j in wb.chunks(offsets):
                 d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 f, space = _folded(d)
                 shown = np.where(space, 32, f)
@@ -210,7 +210,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
                 at = np.array([r for r, _ in found], np.int64) + i
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), batch.column("label").take(pa.array(at)), pa.array([t for _, t in found], pa.binary())], ["row", "label", "token"])
 
-    return rows.select("row", "label", "text").mapInArrow(cut, "row long, label int, token binary")
+    return rows.select("row", "label", "text").transform(bounded_batches).mapInArrow(released(cut), "row long, label int, token binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -287,7 +287,7 @@ def _token_margins(tokens: DataFrame, model: Model) -> DataFrame:
                 data, offsets = wb.text_bytes(part.cast(pa.large_binary()).view(pa.large_string()))
                 yield pa.RecordBatch.from_arrays([part, pa.array(model.row_margins(data, offsets, tables))], ["token", "margin"])
 
-    return tokens.select("token").mapInArrow(score, "token binary, margin double")
+    return tokens.select("token").transform(bounded_batches).mapInArrow(released(score), "token binary, margin double")
 
 
 def _fit(positive: list[bytes], weight: np.ndarray, clean: list[bytes]) -> Model:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, wordbytes
-from .common import new_path, read, tokenizer_path
+from .common import bounded_batches, new_path, read, released, tokenizer_path
 
 _NO_ID = -(1 << 63)
 _ROUNDS = 4
@@ -78,7 +78,7 @@ def _sequences(column: pa.Array, tokens: bpe.PieceTable, length: int):
     for a, _, _, rows, slots, odd in bpe.pieces(column, tokens):
         sizes = tokens.length[slots].astype(np.int64)
         ends = np.cumsum(sizes)
-        ids = tokens.pool[np.repeat(tokens.at[slots] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = tokens.pool[np.repeat(tokens.at[slots].astype(np.int64) - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         upto = np.concatenate([[0], ends])[rows]
         if len(odd):  # rare: put in where they belong
             parts, counts = [], np.diff(upto)
@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "made": [total], "digest": [digest]})
 
     # one row per input partition
-    found = {r.part: (r.made, r.digest) for r in source.mapInArrow(measure, "part long, made long, digest long").collect()}
+    found = {r.part: (r.made, r.digest) for r in source.transform(bounded_batches).mapInArrow(released(measure), "part long, made long, digest long").collect()}
     base, at_index = {}, 0
     for part in sorted(found):
         base[part] = at_index
@@ -159,7 +159,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
         if (index - bases.get(part, 0), digest) != were.get(part, (0, 0)):
             raise RuntimeError(f"input partition {part} differs between the passes; write the input to a table first")
 
-    placed = source.mapInArrow(place, "shard long, slot long, record binary")
+    placed = source.transform(bounded_batches).mapInArrow(released(place), "shard long, slot long, record binary")
     parts = max(1, min(layout.shards, 1 << 16))
     ranged = placed.repartitionById(parts, (F.col("shard") * parts / max(1, layout.shards)).cast("int"))
     (
@@ -221,12 +221,12 @@ def shard_rows(spark: SparkSession, shards: Shards) -> DataFrame:
                 doc = pa.array(r["doc"], mask=r["doc"] == _NO_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(shard * per + k), doc, pa.array(r["seq"]), pa.array(r["n"]), pa.array(np.full(len(r), shard, np.int32)), pa.array(k * stride), pa.array(crc)], ["slot", "doc_id", "seq_no", "n_tokens", "shard", "byte_offset", "ids_crc32"])
 
-    return files.select(F.col("shard").cast("int").alias("shard"), "content").mapInArrow(parse, schema)
+    return files.select(F.col("shard").cast("int").alias("shard"), "content").transform(bounded_batches).mapInArrow(released(parse), schema)
 
 
 def training_order(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Write the shards to a fresh place in the shared folder and return their rows."""
-    return shard_rows(spark, write_shards(docs, new_path(spark, "shards"), **options))
+    return shard_rows(spark, write_shards(docs, new_path(spark, "shards", keep=True), **options))
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is still handled whole.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 19
 
 _FOLD = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -74,14 +74,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return folded, starts, ends, rows
 
 
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse; kept for the usual chunk."""
+    if _powers and len(_powers[0]) > n:
+        return _powers[0][: n + 1], _powers[1][: n + 1]
+    size = max(n, CHUNK_BYTES) + 1
+    both = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b)]), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+    if n <= 2 * CHUNK_BYTES:
+        _powers[:] = both
+    return both[0][: n + 1], both[1][: n + 1]
+
+
 def hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, the same in any batch."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(folded)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum(powers[:-1] * (folded.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+    powers, back = _power_tables(n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.multiply(powers[:n], folded.astype(np.uint64) + np.uint64(1), out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
     return mix64((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
