@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near duplicates, benchmark decontamination, source mixing, token-ID output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's documents; all but the last return the columns of ``documents``.
+stage's documents; all but the last return the columns of ``documents``.  As that is so, a stage begins by deleting the
+intermediate tables of the stages before it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import decontaminate, langid, mixing, neardup, trainorder
-from tidegauge.llm.common import read, written
+from tidegauge.llm.common import drop_intermediates, read, written
 
 #: A row whose language's score is under this goes, as does one of no language.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -18,22 +19,27 @@ MOST_REPEATS = 1.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_intermediates(spark)
     return langid.recognised(docs, langid.train(docs.select("doc_id", "text", "lang")), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_intermediates(spark)
     return neardup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_intermediates(spark)
     return decontaminate.clean_rows(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_intermediates(spark)
     return mixing.mixed_rows(docs, entropy=mixing.ENTROPY, repeats=MOST_REPEATS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_intermediates(spark)
     return trainorder.training_order(spark, docs)
 
 
@@ -53,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each but the last is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -284,7 +284,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "benchmark_decontamination", "source_mixing", "token_output"]
     for _, stage in P.STAGES[:-1]:
-        before, docs = docs, P.written(stage(spark, docs, sf), "stage")
+        before, docs = docs, P.written(stage(spark, docs, sf), "stage", keep=True)
         assert docs.columns == before.columns and docs.count() > 0
     ids = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     out = P.run(spark, sf)
