@@ -30,7 +30,7 @@ from . import wordbytes as wb
 from .common import bounded_batches, fields, fresh, read, released
 
 BINS = 1 << 12
-SAMPLE = 3000
+SAMPLE = 1600
 #: Families of ISO 639-1 codes; any other code is a family by itself.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl no nb nn sv yi".split(),

@@ -11,11 +11,12 @@ def fit_linear(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 60
     Both classes weigh the same in all; ``weights`` scales single rows.
     """
     n = len(x)
-    rows = np.hstack([x, np.ones((n, 1))]).astype(np.float64)
+    rows = np.ones((n, x.shape[1] + 1), np.float32)
+    rows[:, :-1] = x
     share = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * cost * share * (np.ones(n) if weights is None else weights))
-    square = (rows * rows).sum(axis=1) + diagonal
-    alpha, w = np.zeros(n), np.zeros(rows.shape[1])
+    square = np.einsum("ij,ij->i", rows, rows, dtype=np.float64) + diagonal
+    alpha, w = np.zeros(n), np.zeros(rows.shape[1], np.float64)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
