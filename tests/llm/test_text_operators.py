@@ -143,6 +143,23 @@ def test_licenses(spark):
     assert licenses.license_matches(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_wrapped_and_embedded_licenses(spark):
+    full = dict(licenses.TEXTS)
+    header = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 200).split()
+    wrapped = "\n".join(" * " + " ".join(header[k : k + 9]) for k in range(0, len(header), 9))
+    prose = "\n".join(sentence(random.Random(k), 40) for k in range(30))
+    rows = [(k, t) for k, t in enumerate(full.values())]
+    rows += [(20, f"{prose}\n{wrapped}\n{prose}"), (21, "Released under the MIT License. See LICENSE for details."), (22, f"{prose}\n{full['ISC']}\n{prose}"), (23, prose)]
+    rows += [(24, f"{prose}\n{wrapped}\n{prose}\n{wrapped}"), (25, "released under the\nMIT license " * 2000)]
+    got = {r.doc_id: r for r in licenses.license_matches(frame(spark, rows)).collect()}
+    for k, name in enumerate(full):
+        assert name in got[k].licenses.split(",") and got[k].dice > 0.95, name
+    assert (got[20].license, got[20].unit, got[20].n_matches) == ("Apache-2.0", 31, 1) and got[20].dice == 1
+    assert (got[21].license, got[21].dice) == ("MIT", 1.0)
+    assert got[22].license == "ISC" and got[22].dice > 0.95 and got[23].license is None
+    assert got[24].n_matches == 2 and (got[25].license, got[25].n_matches) == ("MIT", 2001)  # the whole text and 2,000 runs
+
+
 # --- 8
 
 

@@ -1,24 +1,34 @@
 """Operator 7, licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-In Spark expressions only.  Units are the lines of a text and the text as a whole; a unit's bigram set is compared with a
-template's only where the sizes allow the threshold: 2|A and B| / (|A| + |B|) >= t needs |A| between t/(2-t) |B| and
-(2-t)/t |B|.  Templates are notices and whole licence texts, given as a table of (licence, text).
+In Spark expressions only.  Units are the lines of a text, the text as a whole and runs of its words; a unit's bigram set is
+compared with a template's only where the sizes allow the threshold: 2|A and B| / (|A| + |B|) >= t needs |A| between
+t/(2-t) |B| and (2-t)/t |B|.  Templates are notices and whole licence texts, given as a table of (licence, text).
+
+Runs of words may begin and end anywhere, so wrapped and embedded licences are found.  Taking in a neighbouring bigram of the
+template never lowers a run's Dice value, so only runs that begin and end with a maximal stretch of the template's bigrams are
+compared; the space between first and last stretch is at most (2-t)/t times the template's bigrams.  Of overlapping runs for
+a template the best counts (of equal ones the earlier, then the shorter).  Only texts that hold t/(2-t) of a template's
+bigrams are searched for it.
 
 Words: maximal runs of digits, a-z and characters beyond ASCII in the lower-cased text.
 
-Defined cases: a null or empty text has no match (licence null, dice 0); of equal Dice values the smaller licence name, then
-the whole text (unit 0), then the earlier line is reported; repeated rows give repeated results; an empty table gives an
-empty result; other columns are ignored; a very long text is handled whole by one task.
+Defined cases: a null or empty text has no match (licence null, dice 0); a run's unit is the line it begins in; of equal Dice
+values the smaller licence name, then the whole text (unit 0), then the earlier line is reported; repeated rows give repeated
+results; an empty table gives an empty result; other columns are ignored; a very long text is handled whole by one task.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
 
-#: Public licence notices and texts.
+#: Public licence notices and the opening parts of texts; SQL states the result for these.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -39,6 +49,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Complete licence texts.
+TEXTS: list[tuple[str, str]] = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
 #: A Dice value from which a unit counts as the licence's.
 THRESHOLD = 0.8
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,33 +60,57 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
 
 
+def _pairs(words: Column) -> Column:
+    """Bigrams of an array of words, in order."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
 def _bigrams(words: Column) -> Column:
     """Distinct bigrams of an array of words."""
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    return F.array_distinct(_pairs(words))
+
+
+def _runs(licence: str, grams: list[str], length: int, threshold: float) -> tuple[str, str]:
+    """SQL of (whether the bigrams ``hits`` allow the template, its best runs in ``seq``: licence, dice, unit)."""
+    known = "({})".format(", ".join(f"'{g}'" for g in grams))
+    need, span = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9), math.ceil(length * (2 - threshold) / threshold)
+    at = "filter(transform(pos, (p, i) -> struct(p AS p, i AS i)), x -> {})"
+    found = f"""filter(transform(flatten(transform(r.s, (a, i) -> transform(
+          filter(transform(slice(r.e, i + 1, {span // 2 + 2}), (e, j) -> struct(e.p AS p, e.i AS i, get(r.s, i + j).p AS begin)),
+                 e -> e.begin - get(r.e, i).p <= {span} AND e.i - a.i + 1 >= {need}),
+          e -> struct(a.p AS a, e.p AS b)))),
+        w -> get(transform(array(array_distinct(slice(seq, w.a + 1, w.b - w.a + 1))),
+          u -> struct(-(size(filter(u, g -> g IN {known})) * 2.0D / (size(u) + {len(grams)})) AS d, w.a AS a, w.b AS b)), 0)),
+      m -> -m.d >= {threshold}D)"""
+    best = f"""aggregate(array_sort({found}), CAST(array() AS array<struct<d: double, a: int, b: int>>),
+      (kept, w) -> if(exists(kept, k -> k.a <= w.b AND w.a <= k.b), kept, concat(kept, array(w))))"""
+    unit = "aggregate(lines, struct(0 AS n, 1 AS k), (s, l) -> struct(s.n + size(l) AS n, s.k + if(s.n + size(l) <= w.a, 1, 0) AS k), s -> s.k)"
+    return f"size(filter(hits, g -> g IN {known})) >= {need}", f"""get(transform(array(filter(transform(seq, (g, i) -> if(g IN {known}, i, -1)), i -> i >= 0)), pos ->
+      get(transform(array(struct({at.format("x.i = 0 OR get(pos, x.i - 1) < x.p - 1")} AS s, {at.format("x.i = size(pos) - 1 OR get(pos, x.i + 1) > x.p + 1")} AS e)), r ->
+        transform({best}, w -> struct(-w.d AS dice, '{licence.replace("'", "''")}' AS license, {unit} AS unit))), 0)), 0)"""
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, license, dice, unit (0: whole text, k: k-th line), n_matches, licenses."""
-    import re
-
+    """Per row of ``docs`` (doc_id, text): doc_id, license, dice, unit (0: whole text, k: k-th line or a run that begins there),
+    n_matches, licenses."""
     rows = []
-    for name, text in TEMPLATES if templates is None else templates:
+    for name, text in [*TEMPLATES, *TEXTS] if templates is None else templates:
         w = [x for x in re.split(_BETWEEN, text.lower()) if x]
         if grams := list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))):
-            rows.append((name, grams))
+            rows.append((name, grams, len(w) - 1))
     narrow, wide = threshold / (2 - threshold), (2 - threshold) / threshold
-    known = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("size")) for n, g in rows))
-    least = max(1, int(min(len(g) for _, g in rows) * narrow))
+    listed = lambda g: "array({})".format(", ".join(f"'{x}'" for x in g))
+    known = F.array(*(F.struct(F.lit(n).alias("license"), F.expr(listed(g)).alias("grams"), F.lit(len(g)).alias("size")) for n, g, _ in rows))
+    least = max(1, int(min(len(g) for _, g, _ in rows) * narrow))
     lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), _words)
-    split = docs.select("doc_id", lines.alias("lines"))
-    units = F.concat(
-        F.array(F.struct(F.lit(0).alias("unit"), F.flatten("lines").alias("words"))),
-        F.transform("lines", lambda w, i: F.struct((i + 1).cast("int").alias("unit"), w.alias("words"))),
-    )
+    split = docs.select("doc_id", lines.alias("lines")).select("doc_id", "lines", _pairs(F.flatten("lines")).alias("seq"))
     # a set of bigrams has one fewer than the words at most
-    sized = F.filter(units, lambda u: F.size(u["words"]) > least)
-    with_grams = split.select("doc_id", F.transform(sized, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(u["words"]).alias("grams"))).alias("units"))
+    sized = F.filter(F.transform("lines", lambda w, i: F.struct((i + 1).cast("int").alias("unit"), w.alias("words"))), lambda u: F.size(u["words"]) > least)
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("unit"), F.array_distinct("seq").alias("grams"))), lambda u: F.size(u["grams"]) >= least)
+    units = F.concat(whole, F.transform(sized, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(u["words"]).alias("grams"))))
+    every = ", ".join(f"'{g}'" for g in dict.fromkeys(x for _, g, _ in rows for x in g))
+    with_grams = split.select("doc_id", "lines", "seq", units.alias("units"), F.expr(f"array_distinct(filter(seq, g -> g IN ({every})))").alias("hits"))
 
     def against(u: Column) -> Column:
         n = F.size(u["grams"])
@@ -82,7 +118,10 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
         return F.transform(near, lambda t: F.struct(
             (F.size(F.array_intersect(u["grams"], t["grams"])) * F.lit(2.0) / (n + t["size"])).alias("dice"), t["license"].alias("license"), u["unit"].alias("unit")))
 
-    found = with_grams.select("doc_id", F.filter(F.flatten(F.transform("units", against)), lambda m: m["dice"] >= threshold).alias("found"))
+    none = "CAST(array() AS array<struct<dice: double, license: string, unit: int>>)"
+    runs = [F.expr(f"if({fits}, {best}, {none})") for fits, best in (_runs(n, g, k, threshold) for n, g, k in rows)]
+    same = F.filter(F.flatten(F.transform("units", against)), lambda m: m["dice"] >= threshold)
+    found = with_grams.select("doc_id", F.concat(same, *runs).alias("found"))
     best = F.get(F.array_sort("found", lambda a, b: (
         F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1))
         .when(a["license"] != b["license"], F.when(a["license"] < b["license"], -1).otherwise(1))
