@@ -14,8 +14,6 @@ from tidegauge.llm.common import drop_intermediates, read, written
 
 #: A row whose language's score is under this goes, as does one of no language.
 LEAST_LANGUAGE_SCORE = 0.1
-#: No source is used more than this, nor any row less than once.
-MOST_REPEATS = 1.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drop_intermediates(spark)
-    return mixing.mixed_rows(docs, entropy=mixing.ENTROPY, repeats=MOST_REPEATS)
+    return mixing.mixed_rows(docs, entropy=mixing.ENTROPY, repeats=mixing.REPEATS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,6 +225,19 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), repeats=2.0).count() == 0
 
 
+def test_pipeline_mixing_reaches_the_entropy(spark):
+    import math
+
+    import corpus_pipeline as P
+
+    rows = [(i, "hot" if i % 57 < 19 else f"s{i % 57 % 19}", "a b c d") for i in range(5700)]
+    used = P.source_mixing(spark, frame(spark, rows, "doc_id long, source string, text string"), "")
+    n = [r["count"] for r in used.groupBy("source").count().collect()]
+    share = [x / sum(n) for x in n]
+    assert -sum(x * math.log(x) for x in share) == pytest.approx(0.95 * math.log(20), rel=2e-3)
+    assert used.select("doc_id").distinct().count() == len(rows)
+
+
 # --- 4 and 10
 
 
