@@ -98,3 +98,13 @@ def test_same_key_same_order_and_empty_input(spark, tmp_path):
     assert a == b
     empty = trainorder.write_shards(docs.limit(0), str(tmp_path / "c"))
     assert empty.sequences == 0 and trainorder.shard_rows(spark, empty).count() == 0
+
+
+def test_a_text_of_more_distinct_pieces_than_the_cache_holds(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 64)
+    monkeypatch.setattr(bpe, "_ENCODED", 100)
+    t = bpe.PieceTable(PATH)
+    for text in ("a few words", " ".join(f"w{k}x {k * 7919}" for k in range(3000)), "a few words again", " ".join(f"v{k}" for k in range(500))):
+        ((_, _, lengths, _, slots, _),) = bpe.pieces(pa.array([text]), t)
+        ids = np.concatenate([t.pool[a : a + n] for a, n in zip(t.at[slots].tolist(), t.length[slots].tolist(), strict=True)])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and lengths.sum() == len(text)

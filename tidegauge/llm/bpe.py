@@ -19,8 +19,10 @@ from . import wordbytes as wb
 #: White space of the pattern's ``\s``.
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
-#: Pieces kept by a worker before the cache starts anew.
+#: Pieces kept by a worker before the cache starts anew; a chunk with more distinct ones (a very long text) has a larger table.
 CACHE_PIECES = 1 << 19
+#: Pieces encoded at once.
+_ENCODED = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -121,8 +123,9 @@ class PieceTable:
         self.longest = max(map(len, ranks))
         self.clear()
 
-    def clear(self) -> None:
-        self.mask = (CACHE_PIECES << 1) - 1
+    def clear(self, most: int = 0) -> None:
+        """Empty the table and give it room for ``most`` pieces, CACHE_PIECES at least."""
+        self.mask = (1 << (2 * max(most, CACHE_PIECES) - 1).bit_length()) - 1
         self.key = np.zeros(self.mask + 1, np.uint64)
         self.at = np.zeros(self.mask + 1, np.int32)
         self.length = np.zeros(self.mask + 1, np.int32)
@@ -154,11 +157,15 @@ class PieceTable:
                 if self.filled:
                     self.clear()
                     return self.look_up(data, starts, ends)
-                raise MemoryError("one chunk has more distinct pieces than the cache holds")
+                self.clear(len(new))
             raw = data.tobytes()
-            ids = [self.encode_piece(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), self.pool.dtype, int(sizes.sum()))
+            sizes, flat = [], []
+            for k in range(0, len(first), _ENCODED):
+                part = first[k : k + _ENCODED]
+                ids = [self.encode_piece(raw[a:b]) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter((i for x in ids for i in x), self.pool.dtype, int(sizes[-1].sum())))
+            sizes, flat = np.concatenate(sizes), np.concatenate(flat)
             if self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.pool.dtype)])
             self.pool[self.used : self.used + len(flat)] = flat
