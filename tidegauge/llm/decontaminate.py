@@ -8,7 +8,8 @@ terms within a span in any order.
 Words: maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z; terms are 64-bit hashes of their bytes.  A
 window is 13 consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Queries are sent to the index in blocks of a bounded size; the blocks' hits are merged per document.
+Queries are sent to the index in blocks of a bounded size; the blocks' hits are merged per row of the index, which is known
+by its block's number (written with the postings) and its place there, never by what it holds.
 
 Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; items that share an id
 count once; a null item_id is written as the empty string; repeated rows give repeated results; an empty index or an empty
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,13 @@ QUERY_BYTES = 4 << 20
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """A row per block of ``docs`` (doc_id, text): ids, keys (hash of the text), word offsets, terms, postings."""
+    """A row per block of ``docs`` (doc_id, text): block (its number), ids, keys (hash of the text), word offsets, terms, postings."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"ids array<{id_type}>, keys array<bigint>, words binary, terms binary, firsts binary, gaps binary"
+    schema = f"block bigint, ids array<{id_type}>, keys array<bigint>, words binary, terms binary, firsts binary, gaps binary"
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = wb.text_bytes(batch.column("text"))
             for a, b in wb.chunks(offsets):
@@ -50,7 +53,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                 gaps = np.diff(order, prepend=0).astype("<i4")
                 row = [pa.array([x]) for x in (at.astype("<i8").tobytes(), inorder[first].astype("<u8").tobytes(), first.astype("<i8").tobytes(), gaps.tobytes())]
                 lists = [pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(batch.column(c).type)) for c in ("doc_id", "key")]
-                yield pa.RecordBatch.from_arrays([*lists, *row], ["ids", "keys", "words", "terms", "firsts", "gaps"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, *row], ["block", "ids", "keys", "words", "terms", "firsts", "gaps"])
+                block += 1
 
     return written(source.transform(bounded_batches).mapInArrow(released(build), schema), "postings")
 
@@ -196,8 +200,7 @@ def _hits(index: DataFrame, queries: Queries) -> DataFrame:
 
 def phrase_hits(index: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per document of the index: doc_id, key, n_words, n_hit, items (sorted ids of items with occurring windows)."""
-    numbered = index.withColumn("block", F.xxhash64("ids", "terms"))
-    every = [_hits(numbered, q) for q in _query_blocks(items, width)]
+    every = [_hits(index, q) for q in _query_blocks(items, width)]
     if len(every) == 1:
         return every[0].select("doc_id", "key", "n_words", "n_hit", "items")
     rows = every[0]
