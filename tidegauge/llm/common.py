@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,36 +25,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of its own (driver and executors are one machine); a cluster is refused,
+    as its executors would write to different disks.
+    """
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.sparkContext.setCheckpointDir(there)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-#: Intermediate tables of this driver, for `drop_intermediates`.
-_made: list[str] = []
+class Intermediates:
+    """The intermediate tables that operators write while this is entered; ``drop`` deletes them, and only them.
+
+    For a caller that has materialised the operators' results; tables written outside of any stay where they are.
+    """
+
+    _entered: ContextVar[Intermediates | None] = ContextVar("intermediates", default=None)
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+    def __enter__(self) -> Intermediates:
+        self._token = self._entered.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._entered.reset(self._token)
+
+    def drop(self, spark: SparkSession) -> None:
+        while self.made:
+            drop_path(spark, self.made.pop())
+
+    @classmethod
+    def current(cls) -> Intermediates | None:
+        return cls._entered.get()
 
 
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path in the shared folder."""
     at = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _made.append(at)
+    if not keep and (own := Intermediates.current()) is not None:
+        own.made.append(at)
     return at
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Delete what the operators have written so far, for a caller that has materialised their results."""
-    while _made:
-        drop_path(spark, _made.pop())
-
-
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
