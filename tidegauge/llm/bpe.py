@@ -62,12 +62,12 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which a piece starts; every row's first byte is one."""
+def piece_starts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+    """Byte positions at which a piece starts; every row's first byte is one.  ``kind``: `byte_classes`, if known."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = byte_classes(data)
+    kind = byte_classes(data) if kind is None else kind
     row_start = np.zeros(n + 1, bool)
     row_start[offsets[:-1][offsets[:-1] < n]] = True
     row_start[n] = True
@@ -105,7 +105,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Token ids of distinct pieces, by 64-bit hash, filled as they are met."""
+    """What is known of distinct pieces, their token ids here, by 64-bit hash, filled as they are met."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -118,18 +118,20 @@ class PieceTable:
         ranks = {bytes(letter[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         self.special, self.ranks, self.size = special, ranks, max([*ranks.values(), *special.values()]) + 1
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.valid: dict[tuple[int, int], bool] = {}
-        self.words = {i: w for w, i in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.clear()
 
+    def values(self, piece: bytes) -> list[int]:
+        """What the table holds of a piece."""
+        return self.encode_piece(piece)
+
     def clear(self, most: int = 0) -> None:
         """Empty the table and give it room for ``most`` pieces, CACHE_PIECES at least."""
         self.mask = (1 << (2 * max(most, CACHE_PIECES) - 1).bit_length()) - 1
         self.key = np.zeros(self.mask + 1, np.uint64)
         self.at = np.zeros(self.mask + 1, np.int32)
         self.length = np.zeros(self.mask + 1, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.pool = np.zeros(1 << 16, self.kind)
         self.filled = self.used = 0
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -162,7 +164,7 @@ class PieceTable:
             sizes, flat = [], []
             for k in range(0, len(first), _ENCODED):
                 part = first[k : k + _ENCODED]
-                ids = [self.encode_piece(raw[a:b]) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                ids = [self.values(raw[a:b]) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
                 sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
                 flat.append(np.fromiter((i for x in ids for i in x), self.pool.dtype, int(sizes[-1].sum())))
             sizes, flat = np.concatenate(sizes), np.concatenate(flat)
@@ -187,29 +189,47 @@ class PieceTable:
             slot, _ = self._probe(h)
         return slot
 
-    def piece_prefix_counts(self, piece: bytes) -> list[int]:
-        """Token count of every byte prefix of one piece, by dynamic programming on the prefix's last token.
 
-        The encoding of a prefix is that of a shorter prefix and one more token; of the tokens that end it, just one
-        forms a valid pair (a pair that encodes to itself) with the shorter prefix's own last token.
-        """
+class PrefixTable(PieceTable):
+    """The token count of every byte prefix of distinct pieces, by dynamic programming on the prefix's last token.
+
+    The encoding of a prefix is that of a shorter prefix and one more token; of the tokens that end it, just one forms a
+    valid pair (a pair that encodes to itself) with the shorter prefix's own last token.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.kind = np.uint32
+        self.words = {i: w for w, i in self.ranks.items()}
+        self.tails = {w[k:] for w in self.ranks for k in range(1, len(w))}
+        self.valid: dict[tuple[int, int], bool] = {}
+        self.clear()
+
+    def values(self, piece: bytes) -> list[int]:
+        return self.piece_prefix_counts(piece)[1:]
+
+    def piece_prefix_counts(self, piece: bytes) -> list[int]:
+        """Token counts of the prefixes of 0, 1, ... bytes of one piece."""
         last, count = [-1], [0]
+        ranks, tails, valid = self.ranks, self.tails, self.valid
         for j in range(1, len(piece) + 1):
-            for i in range(max(0, j - self.longest), j):
-                token = self.ranks.get(piece[i:j])
-                if token is None:
-                    continue
-                pair = (last[i], token)
-                if (ok := self.valid.get(pair)) is None:
-                    before = self.words[pair[0]] if pair[0] >= 0 else b""
-                    ok = self.core.encode_single_piece(before + piece[i:j]) == [t for t in pair if t >= 0]
-                    if len(self.valid) > 1 << 18:
-                        self.valid.clear()
-                    self.valid[pair] = ok
-                if ok:
-                    last.append(token)
-                    count.append(count[i] + 1)
-                    break
+            for i in range(j - 1, -1, -1):
+                end = piece[i:j]
+                token = ranks.get(end)
+                if token is not None:
+                    pair = (last[i], token)
+                    if (ok := valid.get(pair)) is None:
+                        before = self.words[pair[0]] if pair[0] >= 0 else b""
+                        ok = self.core.encode_single_piece(before + end) == [t for t in pair if t >= 0]
+                        if len(valid) > 1 << 18:
+                            valid.clear()
+                        valid[pair] = ok
+                    if ok:
+                        last.append(token)
+                        count.append(count[i] + 1)
+                        break
+                if end not in tails:  # no longer token ends here
+                    raise ValueError("a prefix has no encoding: the vocabulary lacks a byte")
         return count
 
 
@@ -218,6 +238,73 @@ def table(path: str) -> PieceTable:
     return PieceTable(path)
 
 
+@lru_cache(maxsize=2)
+def prefix_table(path: str) -> PrefixTable:
+    return PrefixTable(path)
+
+
+def prefix_counts(data: np.ndarray, offsets: np.ndarray, tokens: PrefixTable) -> np.ndarray:
+    """Token count of the row's prefix that ends with each byte; right where a character ends.  Special strings are text.
+
+    A prefix splits into the pieces of its row up to its last piece, and there the table has the count; but a prefix that
+    ends in a run of white space has the run as one piece, and half a contraction is a mark and a letter.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = byte_classes(data)
+    starts = piece_starts(data, offsets, kind)
+    ends = np.append(starts[1:], n)
+    first_of_row = np.zeros(n + 1, bool)
+    first_of_row[offsets[:-1]] = True
+    # a run of white space before other text: its last character begins a piece of its own or with that text
+    white = kind[starts] == _SPACE
+    at = np.flatnonzero(white[:-1] & white[1:] & ~first_of_row[starts[1:]])
+    lead = data[starts[at + 1]]
+    width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    run_end = starts[at + 1] + width
+    every = tokens.look_up(data, np.concatenate([starts, starts[at]]), np.concatenate([ends, run_end]))
+    slots, runs = every[: len(starts)], every[len(starts) :]
+    size = ends - starts
+    inner = tokens.pool[np.repeat(tokens.at[slots].astype(np.int64) - starts, size) + np.arange(n)].astype(np.int64)
+    whole = inner[ends - 1]
+    before = np.cumsum(whole) - whole
+    row = np.searchsorted(starts, offsets[:-1])  # a row's first piece; of an empty row, the next one's
+    row_base = np.append(before, whole.sum())[row]
+    before -= np.repeat(row_base, np.diff(np.append(row, len(starts))))
+    out = inner + np.repeat(before, size)
+    out[run_end - 1] = before[at] + tokens.pool[tokens.at[runs] + (run_end - starts[at]) - 1]
+    short = np.flatnonzero((size == 3) & (data[starts] == 0x27))
+    short = short[kind[starts[short] + 1] == _LETTER]
+    out[starts[short] + 1] = before[short] + 2
+    return out
+
+
+def special_prefix_counts(text: str, tokens: PrefixTable) -> np.ndarray:
+    """`prefix_counts` of one text that may hold special strings, each one token where it is whole."""
+    out, total, before = [], 0, b""
+
+    def ordinary(raw: bytes) -> np.ndarray:
+        return prefix_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tokens) + total
+
+    for part, special in split_special(text, tokens):
+        raw = part.encode()
+        if special is None:
+            before = raw
+            continue
+        cut = (before + raw)[:-1]  # a part of the special string is text, or holds a shorter one
+        inner = cut.decode("utf-8", "ignore")
+        held = any(s in inner for s in tokens.special)
+        found = special_prefix_counts(inner, tokens) + total if held else ordinary(cut)
+        out += [found, np.full(len(cut) - len(found), -1)]
+        total = (int(found[len(before) - 1]) if before else total) + 1
+        out.append(np.array([total]))
+        before = b""
+    if before:
+        out.append(ordinary(before))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def pieces(column: pa.Array, tokens: PieceTable):
     """Per chunk of rows: (first row, end row, piece lengths in bytes, pieces' row offsets, slots, special rows).
 

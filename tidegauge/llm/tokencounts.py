@@ -1,116 +1,102 @@
-"""Operator 2, token counts: exact counts at every prefix by dynamic programming, without re-encoding.
+"""Operator 2, token counts: the exact count at every prefix by dynamic programming, stored, without re-encoding.
 
 A text is split into pieces; the count at a piece boundary is the count at the boundary before it plus the piece's own,
-and inside a piece the count of every byte prefix follows from its shorter prefixes (`bpe.PieceTable.piece_prefix_counts`).
-The stored steps (piece lengths and piece token counts) answer truncation and budget questions.
+and inside a piece the count of every prefix follows from its shorter prefixes (`bpe.PrefixTable`, whose rows distinct
+pieces share).  The counts at all prefixes of whole characters are stored with each row (`pack`); the last one is the
+text's count, and any of them (`count_at`) or the longest prefix within a budget (`longest_prefix`) is read off them.
+Counts may fall where a prefix grows, as more characters can merge into fewer tokens.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special tokens' strings in a text count as the tokenizer's
-file says (one token each); repeated rows give repeated results; an empty table gives an empty one; other columns of the
-input are ignored.  Very long texts are handled whole, by one task each.
+file says (one token each, from their last character on); repeated rows give repeated results; an empty table gives an empty
+one; other columns of the input are ignored.  Very long texts are handled whole, by one task each.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from . import wordbytes as wb
 from .common import bounded_batches, read, released, tokenizer_path
 
+#: Token budgets whose longest prefixes are returned.
+BUDGETS = (128, 512, 2048, 8192)
 
-def count_at(text: bytes, lengths: np.ndarray, counts: np.ndarray, cut: int, tokens: bpe.PieceTable) -> int:
-    """Token count of ``text[:cut]`` (a character boundary) from the stored steps.
 
-    The steps before the last two pieces that begin at or before the cut hold for the prefix as they stand; what follows is
-    split as the prefix has it, since a prefix that ends in white space or in half a contraction splits otherwise.
-    """
-    ends = np.cumsum(lengths)
-    k = max(0, int(np.searchsorted(ends, cut, side="left")) - 1)
-    while k > 0 and not text[int(ends[k - 1]) : int(ends[k])].strip():
-        k -= 1
-    start = int(ends[k - 1]) if k else 0
-    total = int(counts[:k].sum())
-    tail = text[start:cut]
-    for part, special in bpe.split_special(tail.decode("utf-8"), tokens):
-        if special is not None:
-            total += 1
-            continue
-        raw = part.encode()
-        at = bpe.piece_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
-        for a, b in zip(at, [*at[1:], len(raw)], strict=True):
-            total += tokens.piece_prefix_counts(raw[a:b])[-1]
-    return total
-
-
-def longest_prefix(text: bytes, lengths: np.ndarray, counts: np.ndarray, budget: int, tokens: bpe.PieceTable) -> int:
-    """Bytes of the longest prefix that ends in the piece where the budget is passed, or before it, within the budget."""
-    upto = np.cumsum(counts)
-    if not len(upto) or upto[-1] <= budget:
-        return len(text)
-    k = bisect_right(upto.tolist(), budget)
-    ends = np.cumsum(lengths)
-    begin, end = int(ends[k - 1]) if k else 0, int(ends[k])
-    inner = tokens.piece_prefix_counts(text[begin:end])
-    base = int(upto[k - 1]) if k else 0
-    for j in range(end - begin, -1, -1):
-        if base + inner[j] > budget + 2 or (begin + j < len(text) and text[begin + j] & 0xC0 == 0x80):
-            continue
-        if count_at(text, lengths, counts, begin + j, tokens) <= budget:
-            return begin + j
-    return begin
-
-
-def token_prefixes(docs: DataFrame, *, path: str | None = None, limit: int = 512, steps: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_bytes, n_tokens, over_limit, cut_bytes and, with ``steps``, the prefix table.
-
-    cut_bytes is the longest prefix within ``limit`` tokens (`longest_prefix`); piece_bytes and piece_tokens are
-    little-endian uint32 arrays, whose running sums are the token count at every piece boundary.
+def pack(counts: np.ndarray) -> bytes:
+    """Counts at the prefixes of 1, 2, ... characters as differences: a byte of the width, then little-endian integers."""
+    steps = np.diff(counts, prepend=0)
+    width = 1 if not len(steps) or (steps.min() >= -128 and steps.max() <= 127) else 4
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpack(table: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(table, f"<i{table[0]}", offset=1), dtype=np.int64)
+
+
+def count_at(table: bytes, chars: int) -> int:
+    """Token count of the first ``chars`` characters, from a stored table."""
+    return int(unpack(table)[chars - 1]) if chars else 0
+
+
+def longest_prefix(table: bytes, budget: int) -> int:
+    """Characters of the longest prefix of ``budget`` tokens at most, from a stored table."""
+    fits = np.flatnonzero(unpack(table) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def token_prefixes(docs: DataFrame, *, path: str | None = None, limit: int = 512, budgets: tuple[int, ...] = BUDGETS, steps: bool = True) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_bytes, n_tokens, over_limit (more than ``limit``), cut_bytes and, with ``steps``, prefix_tokens.
+
+    cut_bytes has the bytes of the longest prefix within each budget; prefix_tokens is the stored table (`unpack`).
     """
-    at = path or tokenizer_path()
     id_type = docs.schema["doc_id"].dataType
     fields = [
         T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
-        T.StructField("over_limit", T.BooleanType()), T.StructField("cut_bytes", T.LongType()),
+        T.StructField("over_limit", T.BooleanType()), T.StructField("cut_bytes", T.ArrayType(T.LongType())),
     ]
     if steps:
-        fields += [T.StructField("piece_bytes", T.BinaryType()), T.StructField("piece_tokens", T.BinaryType())]
+        fields.append(T.StructField("prefix_tokens", T.BinaryType()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.table(at)
+        tokens = bpe.prefix_table(path or tokenizer_path())
         for batch in batches:
             column = batch.column("text").cast(pa.large_string()).fill_null("")
-            for a, b, lengths, rows, slots, odd in bpe.pieces(column, tokens):
-                counts = tokens.length[slots]
-                upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                size = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                n_tokens, n_bytes = upto[rows[1:]] - upto[rows[:-1]], size[rows[1:]] - size[rows[:-1]]
-                cut = n_bytes.copy()
-                special = {}
-                for i in odd.tolist():
-                    text = column[i].as_py()
-                    ids, ln, ct = bpe.encode_text(text, tokens)
-                    special[i - a] = np.array(ln), np.array(ct)
-                    n_tokens[i - a], n_bytes[i - a] = len(ids), len(text.encode())
-                    cut[i - a] = n_bytes[i - a]
-                own = lambda i: special.get(i) or (lengths[rows[i] : rows[i + 1]], counts[rows[i] : rows[i + 1]])  # noqa: B023,E731
-                for i in np.flatnonzero(n_tokens > limit).tolist():
-                    cut[i] = longest_prefix(column[a + i].as_buffer().to_pybytes(), *own(i), limit, tokens)
-                out = [batch.column("doc_id").slice(a, b - a), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(cut)]
-                names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"]
+            odd = np.zeros(len(column), bool)
+            for s in tokens.special:
+                odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False).astype(bool)
+            data, offsets = wb.text_bytes(column)
+            for a, b in wb.chunks(offsets):
+                d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                counts = bpe.prefix_counts(d, o, tokens)
+                for i in np.flatnonzero(odd[a:b]).tolist():
+                    counts[o[i] : o[i + 1]] = bpe.special_prefix_counts(column[a + i].as_py(), tokens)
+                last = np.append(counts, 0)[np.maximum(o[1:] - 1, 0)]
+                n_bytes = np.diff(o)
+                n_tokens = np.where(n_bytes > 0, last, 0)
+                ends = np.flatnonzero(np.append(d[1:] & 0xC0 != 0x80, True)[: len(d)])  # where characters end
+                at = np.searchsorted(ends, o)
+                kept = counts[ends]
+                cuts = np.repeat(n_bytes[:, None], len(budgets), axis=1)
+                for k, budget in enumerate(budgets):
+                    for i in np.flatnonzero(n_tokens > budget).tolist():
+                        fits = np.flatnonzero(kept[at[i] : at[i + 1]] <= budget)
+                        cuts[i, k] = ends[at[i] + fits[-1]] + 1 - o[i] if len(fits) else 0
+                cut = pa.ListArray.from_arrays(np.arange(0, cuts.size + 1, len(budgets), dtype=np.int32) if budgets else np.zeros(b - a + 1, np.int32), pa.array(cuts.ravel()))
+                out = [batch.column("doc_id").slice(a, b - a), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), cut]
                 if steps:
-                    kept = [own(i) for i in range(b - a)]
-                    out += [pa.array([x[k].astype("<u4").tobytes() for x in kept], pa.binary()) for k in (0, 1)]
-                    names += ["piece_bytes", "piece_tokens"]
-                yield pa.RecordBatch.from_arrays(out, names)
+                    out.append(pa.array([pack(kept[at[i] : at[i + 1]]) for i in range(b - a)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(bounded_batches).mapInArrow(released(count), T.StructType(fields))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_prefixes(read(spark, sf_dir, "documents"), limit=512, steps=False)
+    return token_prefixes(read(spark, sf_dir, "documents"), limit=512)

@@ -96,9 +96,9 @@ def _sequences(column: pa.Array, tokens: bpe.PieceTable, length: int):
         yield a, ids, np.diff(upto)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], at: str, length: int):
-    """(doc ids, ids, tokens per row, sequences per row) of each chunk."""
-    tokens = bpe.table(at)
+def _counted(batches: Iterator[pa.RecordBatch], path: str | None, length: int):
+    """(doc ids, ids, tokens per row, sequences per row) of each chunk; without ``path``, by the tokenizer file of this machine."""
+    tokens = bpe.table(path or tokenizer_path())
     for batch in batches:
         column = batch.column("text").cast(pa.large_string()).fill_null("")
         keys = batch.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
@@ -112,14 +112,13 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
     ``shard_records`` defaults to 16,384, more where that would make over 65,536 shards.
     """
     spark = docs.sparkSession
-    at = path or tokenizer_path()
-    eot = next(iter(bpe.table(at).special.values()), 0)
-    width = bpe.table(at).pool.dtype.itemsize
+    here = bpe.table(path or tokenizer_path())
+    eot, width = next(iter(here.special.values()), 0), here.pool.dtype.itemsize
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, digest = 0, 0
-        for keys, _, counts, made in _counted(batches, at, length):
+        for keys, _, counts, made in _counted(batches, path, length):
             total += int(made.sum())
             digest = zlib.crc32(counts.astype("<i8").tobytes(), zlib.crc32(keys.astype("<i8").tobytes(), digest))
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "made": [total], "digest": [digest]})
@@ -140,7 +139,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
         bases, were = known.value
         index, digest = bases.get(part, 0), 0
         kind = np.dtype([("doc", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", f"<u{width}", (length,))])
-        for keys, ids, counts, made in _counted(batches, at, length):
+        for keys, ids, counts, made in _counted(batches, path, length):
             digest = zlib.crc32(counts.astype("<i8").tobytes(), zlib.crc32(keys.astype("<i8").tobytes(), digest))
             n = int(made.sum())
             seq = np.arange(n) - np.repeat(np.cumsum(made) - made, made)
