@@ -3,14 +3,17 @@
 Documents are sets of five-word shingles; two are linked at a Jaccard similarity of 0.8 or more.
 
 1. Rows with the same sequence of words are collapsed first (map-side); a text stands for its copies from then on.
-2. Each text has ``trees`` labels of ``deepest`` MinHash values: its paths in the forest's prefix tries.  The matched prefix is
-   shortened from the deepest level on until a pair at the threshold shares one with the target recall.
-3. The texts that share a prefix (a trie node) are verified on their whole shingle sets.  Nodes with the same members in
-   several trees are verified once, a pair only in its first tree.  A large node is dealt out as pairs of tiles of bounded
-   size, so no task holds a node; counts and star edges leave a tile, not pairs.
-4. Star edges are joined to connected components by label propagation with pointer jumping.
-
-The target recall is of pairs at the threshold; above it, it is higher (0.9 similarity: 0.9999999).
+2. Each text has ``trees`` labels of ``deepest`` MinHash values: its paths in the forest's prefix tries.  A trie is its labels
+   in sorted order (range-partitioned by tree and label); a node at a depth is a run of labels that share a prefix.
+3. The deepest nodes come first: their texts are verified on their whole shingle sets, and the similarities of the links
+   found are counted.  A pair at similarity s is met at depth d with probability 1 - (1 - s^d)^trees; while that is under the
+   target recall for the lowest similarity found, the matched prefix is shortened by one value.  A shorter prefix is worked
+   through only for nodes that join several deeper ones, and for pairs that share no longer prefix anywhere.
+4. Nodes with the same members in several trees are verified once, a pair only in its first tree.  A large node is dealt out
+   as pairs of tiles of bounded size, so no task holds a node; counts and star edges leave a tile, not pairs.
+5. Star edges are joined to connected components by label propagation with pointer jumping.
+
+At the threshold the default target ends at 4 values at the latest (recall 0.9998 there, 0.9999999 at similarity 0.9).
 
 Defined cases: a text of fewer than five words, but at least one, is one shingle of them all; a null or empty text has no
 words, links to nothing and is a class by itself; repeated rows link to each other; a null doc_id is grouped like any other
@@ -37,16 +40,26 @@ DEEPEST = 5
 RECALL = 0.999
 #: Texts, and bytes of shingles, of a tile.
 TILE, TILE_BYTES = 256, 8 << 20
+#: Bins of the similarities between the threshold and 1 in which links are counted.
+BINS = 20
 #: Texts whose shingles are fetched by a broadcast of their keys (of 16 bytes); more are fetched by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 
 
-def prefix_depth(trees: int, deepest: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with the target recall."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def met(similarity: float, depth: int, trees: int) -> float:
+    """The probability that a pair shares a prefix of ``depth`` values in one tree at least."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def estimated_recall(links: dict[float, int], depth: int, trees: int) -> tuple[float, float]:
+    """(of all links, of the lowest similarity found) what part has been met at ``depth``; ``links`` are counts by similarity.
+
+    A link that was found stands for 1 / probability links; without any there is nothing to miss.
+    """
+    if not links:
+        return 1.0, 1.0
+    there = sum(n / met(s, depth, trees) for s, n in links.items())
+    return sum(links.values()) / there, met(min(links), depth, trees)
 
 
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +141,10 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -
 
 
 def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold: float) -> DataFrame:
-    """Per tile and text with a link in it: digest, root (smallest digest it is linked with there), links (rows), texts."""
+    """Per tile and text with a link in it: digest, root (smallest digest it is linked with there), links (rows), texts.
+
+    And, without a digest, the tile's links by bin of their similarity: bin, texts (links).
+    """
 
     def one(tree: int, part: np.ndarray, digest: list[bytes], copies: np.ndarray, signature: np.ndarray, raw: list[bytes]):
         n = len(digest)
@@ -136,11 +152,13 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
         if part.min() != part.max():
             cross = part[i] != part[j]
             i, j = i[cross], j[cross]
-        labels = signature.reshape(n, trees, deepest)[:, :, :depth]
-        for t in range(tree):  # a pair counts in its first tree
-            if not len(i):
+        whole = signature.reshape(n, trees, deepest)
+        labels = whole[:, :, :depth]
+        for t in range(trees):  # a pair counts in its first tree, at its longest prefix
+            upto = depth if t < tree else depth + 1
+            if not len(i) or upto > deepest:
                 break
-            new = (labels[i, t] != labels[j, t]).any(axis=1)
+            new = (whole[i, t, :upto] != whole[j, t, :upto]).any(axis=1)
             i, j = i[new], j[new]
         if not len(i):
             return None
@@ -154,9 +172,11 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
             return None
         common = _intersections(sets, i, j)
         linked = common >= threshold * (size[i] + size[j] - common) - 1e-9
-        i, j = i[linked], j[linked]
+        i, j, common = i[linked], j[linked], common[linked]
         if not len(i):
             return None
+        alike = common / (size[i] + size[j] - common)
+        seen = np.bincount(np.clip((alike - threshold) / (1 - threshold) * BINS, 0, BINS - 1).astype(int) if threshold < 1 else np.zeros(len(i), int), minlength=BINS)
         links, texts = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for x, y in ((i, j), (j, i)):
             np.add.at(links, x, copies[y])
@@ -171,7 +191,12 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
             if (root == before).all():
                 break
         own = np.flatnonzero(texts)
-        return [[digest[k] for k in own], [digest[root[k]] for k in own], links[own], texts[own]]
+        bins = np.flatnonzero(seen)
+        none: list[None] = [None] * len(bins)
+        return [
+            pa.array([*(digest[k] for k in own), *none], pa.binary()), pa.array([*(digest[root[k]] for k in own), *none], pa.binary()), pa.array([*links[own].tolist(), *none], pa.int64()),
+            pa.array(np.concatenate([texts[own], seen[bins]])), pa.array([*[None] * len(own), *bins.tolist()], pa.int32()),
+        ]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, seen = None, [], set()
@@ -183,7 +208,7 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
             return one(at[0], np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1), [r[4] for r in rows])
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.array(found[2]), pa.array(found[3])], ["digest", "root", "links", "texts"])
+            return pa.RecordBatch.from_arrays(found, ["digest", "root", "links", "texts", "bin"])
 
         for batch in batches:
             names = [batch.column(c).to_pylist() for c in ("tree", "node", "low", "high", "part", "digest", "copies", "signature", "shingles")]
@@ -199,7 +224,7 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
             yield batch_of(found)
 
     dealt = tiles.repartition("tree", "node", "low", "high").sortWithinPartitions("tree", "node", "low", "high")
-    return dealt.select("tree", "node", "low", "high", "part", "digest", "copies", "signature", "shingles").transform(bounded_batches).mapInArrow(released(verify), "digest binary, root binary, links bigint, texts bigint")
+    return dealt.select("tree", "node", "low", "high", "part", "digest", "copies", "signature", "shingles").transform(bounded_batches).mapInArrow(released(verify), "digest binary, root binary, links bigint, texts bigint, bin int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,23 +240,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its class), class_size, n_links (rows it is
-    linked with, copies included), n_texts (different texts it is linked with); key and keep_key are the hashes of the row's
-    text and of the class's smallest row's."""
-    depth = prefix_depth(trees, deepest, threshold, recall)
-    signed = written(signatures(docs, width, trees, deepest), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    texts = written(
-        signed.filter("digest IS NOT NULL").groupBy("digest")
-        .agg(F.count("*").alias("copies"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"))
-        .select("digest", "copies", "first.doc_id", "first.key", "n_words", "signature"), "texts")
-    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.substr(F.col("signature"), t * (deepest * 4) + 1, F.lit(depth * 4))))
-    forest = texts.select("digest", "n_words", F.posexplode(paths).alias("tree", "node"))
-    nodes = forest.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.bit_xor(F.xxhash64("digest")).alias("members")).filter("n > 1")
-    once = nodes.groupBy("n", "words", "members").agg(F.min(F.struct("tree", "node")).alias("at")).select("at.tree", "at.node", "n", "words")
+def _level(docs: DataFrame, texts: DataFrame, forest: DataFrame, depth: int, width: int, threshold: float, trees: int, deepest: int) -> DataFrame:
+    """`_verified` tiles of the nodes at ``depth`` whose pairs haven't all been met deeper down."""
+    upto = lambda d: F.xxhash64(F.substring("label", 1, 4 * d))
+    placed = forest.select("digest", "n_words", "tree", upto(depth).alias("node"), upto(depth + 1).alias("child"))
+    nodes = placed.groupBy("tree", "node").agg(
+        F.count("*").alias("n"), F.sum("n_words").alias("words"), F.bit_xor(F.xxhash64("digest")).alias("members"), (F.min("child") < F.max("child")).alias("joins")).filter("n > 1")
+    once = nodes.groupBy("n", "words", "members").agg(F.min(F.struct("tree", "node")).alias("at"), F.min("joins").alias("joins"))
+    once = once if depth == deepest else once.filter("joins")
     parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("words") * 8 / TILE_BYTES)).cast("int")
-    held = written(forest.select("tree", "node", "digest").join(once.select("tree", "node", parts.alias("parts")), ["tree", "node"]), "trie-nodes")
+    held = written(placed.select("tree", "node", "digest").join(once.select("at.tree", "at.node", parts.alias("parts")), ["tree", "node"]), "trie-nodes")
     wanted = held.select("digest").distinct().join(texts, "digest").select("digest", "copies", "signature", "doc_id", "key")
     wanted = written(wanted, "wanted")
     keys = wanted.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"))
@@ -243,7 +261,37 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, threshold: float = T
     dealt = held.withColumn("part", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("tree", "node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "digest")
     tiles = dealt.join(wanted.select("digest", "copies", "signature"), "digest").join(sets, "digest")
-    stars = written(_verified(tiles, trees, deepest, depth, threshold), "stars")
+    return written(_verified(tiles, trees, deepest, depth, threshold), "stars")
+
+
+def near_duplicates(
+    docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, report: dict | None = None
+) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its class), class_size, n_links (rows it is
+    linked with, copies included), n_texts (different texts it is linked with); key and keep_key are the hashes of the row's
+    text and of the class's smallest row's.  ``report`` gets the depth reached, the links by similarity and the estimated recall."""
+    signed = written(signatures(docs, width, trees, deepest), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    texts = written(
+        signed.filter("digest IS NOT NULL").groupBy("digest")
+        .agg(F.count("*").alias("copies"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"))
+        .select("digest", "copies", "first.doc_id", "first.key", "n_words", "signature"), "texts")
+    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr(F.col("signature"), t * (deepest * 4) + 1, F.lit(deepest * 4)))
+    leaves = texts.select("digest", "n_words", F.posexplode(paths).alias("tree", "label"))
+    forest = written(leaves.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
+    stars, links = None, {}
+    for depth in range(deepest, 0, -1):
+        found = _level(docs, texts, forest, depth, width, threshold, trees, deepest)
+        for r in found.filter("digest IS NULL").groupBy("bin").agg(F.sum("texts").alias("n")).collect():  # BINS rows
+            s = threshold + (1 - threshold) * r.bin / BINS
+            links[s] = links.get(s, 0) + r.n
+        own = found.filter("digest IS NOT NULL").drop("bin")
+        stars = own if stars is None else stars.unionByName(own)
+        overall, lowest = estimated_recall(links, depth, trees)
+        if lowest >= recall:
+            break
+    if report is not None:
+        report.update(depth=depth, links=links, recall=overall, recall_of_lowest=lowest)
     labels = components(stars.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     counted = stars.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     base = texts.select("digest", "copies", "doc_id", "key")
