@@ -108,7 +108,7 @@ def brute_contamination(rows, items, width=13):
     return Counter(out)
 
 
-def test_contamination(spark, corpus, monkeypatch):
+def test_contamination(spark, corpus, monkeypatch, tmp_path):
     rng = random.Random(5)
     texts = [t for _, t in corpus if t and len(words(t)) > 30]
     items = [(k, " ".join(words(rng.choice(texts))[5:40])) for k in range(6)] + [(7, "One two"), (8, None), (9, "..."), (None, "é"), (0, "one, TWO")]
@@ -120,6 +120,11 @@ def test_contamination(spark, corpus, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(n for (_, w, h, _), n in want.items() if not (h and 20 * h >= w))
     monkeypatch.setattr(decontaminate, "QUERY_BYTES", 100)  # several query blocks give the same
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(docs, bench).collect()) == want
+    twice = docs.repartition(1)  # two equal files, so two equal blocks
+    twice.write.mode("overwrite").parquet(str(tmp_path / "in"))
+    twice.write.mode("append").parquet(str(tmp_path / "in"))
+    found = decontaminate.contamination(spark.read.parquet(str(tmp_path / "in")), bench)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == want + want
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
@@ -198,8 +203,59 @@ def test_near_duplicates(spark, corpus, monkeypatch, tile):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_recall_of_the_prefix():
-    assert neardup.prefix_depth(16, 5, 0.8, 0.999) == 4 and neardup.prefix_depth(16, 5, 0.8, 0.99) == 5
+def test_prefixes_are_shortened_to_the_target(spark, corpus):
+    assert neardup.met(0.8, 4, 16) > 0.9997 > 0.999 > neardup.met(0.8, 5, 16)
+    assert neardup.estimated_recall({}, 5, 16) == (1.0, 1.0)
+    overall, lowest = neardup.estimated_recall({0.8: 1000, 0.95: 9000}, 5, 16)
+    assert lowest == neardup.met(0.8, 5, 16) < overall < 1
+    rng = random.Random(8)
+    base = sentence(rng, 200).split()
+
+    def changed(k):
+        copy = list(base)
+        copy[k] = "changed"
+        return " ".join(copy)
+
+    near, report = [(k, changed(k * 9)) for k in range(20)], {}  # 5 of 196 shingles differ from the base: similarity 0.90 among each other
+    got = neardup.near_duplicates(frame(spark, near), report=report).collect()
+    assert report["depth"] == 5 and min(report["links"]) > 0.88 and sum(report["links"].values()) == 190 and all(r.n_texts == 19 for r in got)
+    report = {}
+    neardup.near_duplicates(frame(spark, corpus), report=report)
+    assert report["depth"] == 4 and report["recall_of_lowest"] >= 0.999
+    texts = {tuple(words(t)): i for i, (_, t) in reversed(list(enumerate(corpus))) if words(t)}  # one row of each word sequence
+    pairs, _ = brute_links([corpus[i] for i in texts.values()])
+    assert 2 * sum(report["links"].values()) == sum(map(len, pairs.values()))
+
+
+def test_recall_against_the_exact_join(spark):
+    """Links between different texts of sf0.01 by similarity, against all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    report: dict = {}
+    found = {r.doc_id: r for r in neardup.near_duplicates(docs, report=report).collect()}
+    sets = {}
+    for r in docs.collect():
+        w = words(r.text)
+        if w:
+            sets.setdefault(tuple(w), {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    sets = list(sets.values())
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    shared = Counter()
+    for own in holders.values():
+        for p, i in enumerate(own):
+            for j in own[p + 1 :]:
+                shared[i, j] += 1
+    exact = Counter()
+    for (i, j), n in shared.items():
+        s = n / (len(sets[i]) + len(sets[j]) - n)
+        if s >= 0.8 - 1e-12:
+            exact[min(neardup.BINS - 1, int((s - 0.8) / 0.2 * neardup.BINS + 1e-9))] += 1
+    got = {round((s - 0.8) / 0.2 * neardup.BINS): n for s, n in report["links"].items()}
+    assert sum(got.values()) >= 0.999 * sum(exact.values()) and sum(got.values()) <= sum(exact.values())
+    assert all(got.get(k, 0) >= 0.99 * n for k, n in exact.items()), (got, exact)
+    assert len(found) == docs.count()
 
 
 # --- 9

@@ -3,12 +3,15 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidegauge.llm import bpe, common, tokencounts, trainorder
 
 PATH = common.tokenizer_path()
+#: The tokenizer's pattern of pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TEXTS = ["", None, "hello  world\n\n x", "I'll don't 's 'tis '''re", "a<|endoftext|>b<|endoftext|>", "naïve 中文 😀  ½²", "word " * 5000, "x" * 3000, "\n \t  end ", "same", "same"]
 
 
@@ -40,29 +43,67 @@ def test_counts_are_the_librarys(texts):
     assert counted(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from("abre 'stlm\n é中 <|>"), max_size=30))
-def test_every_prefix(text):
+def library_prefixes(lib, text):
+    return [len(e.ids) for e in lib.encode_batch([text[: k + 1] for k in range(len(text))], add_special_tokens=False)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from("abre 'stlmv\n é中\u00a0\u3000\t <|>19!"), st.sampled_from(["<|endoftext|>", "'ll", "  ", "hello"])), max_size=25).map("".join), max_size=4))
+def test_every_prefix(texts):
     from tokenizers import Tokenizer
 
-    lib, t = Tokenizer.from_file(PATH), bpe.table(PATH)
-    _, lengths, counts = bpe.encode_text(text, t)
-    raw = text.encode()
-    for k in range(len(text) + 1):
-        cut = len(text[:k].encode())
-        assert tokencounts.count_at(raw, np.array(lengths, int), np.array(counts, int), cut, t) == len(lib.encode(text[:k], add_special_tokens=False).ids)
+    lib, t = Tokenizer.from_file(PATH), bpe.prefix_table(PATH)
+    raw = [x.encode() for x in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    together = bpe.prefix_counts(np.frombuffer(b"".join(raw), np.uint8), offsets, t)
+    for k, text in enumerate(texts):
+        odd = "<|endoftext|>" in text
+        counts = bpe.special_prefix_counts(text, t) if odd else together[offsets[k] : offsets[k + 1]]
+        ends = np.cumsum([len(c.encode()) for c in text]).astype(int) - 1
+        assert counts[ends].tolist() == library_prefixes(lib, text)
+
+
+def test_stored_tables():
+    for counts in ([], [1], [1, 2, 1, 1, 3], [1, 500, 20, 90_000]):
+        table = tokencounts.pack(np.array(counts, int))
+        assert tokencounts.unpack(table).tolist() == counts and tokencounts.count_at(table, 0) == 0
+        assert [tokencounts.count_at(table, k + 1) for k in range(len(counts))] == counts
+    assert tokencounts.longest_prefix(tokencounts.pack(np.array([1, 2, 3, 2, 4])), 2) == 4 and tokencounts.longest_prefix(b"\x01", 5) == 0
+
+
+def test_every_prefix_of_the_smallest_tables(spark, library):
+    """Short documents at every prefix, long ones at about 60 of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in tokencounts.token_prefixes(docs).collect():
+        text, counts = texts[r.doc_id], tokencounts.unpack(r.prefix_tokens).tolist()
+        assert len(counts) == len(text)
+        at = range(1, len(text) + 1) if len(text) < 400 else sorted({1, len(text), *range(7, len(text), max(1, len(text) // 60))})
+        got = [len(e.ids) for e in library.encode_batch([text[:k] for k in at], add_special_tokens=False)]
+        assert [counts[k - 1] for k in at] == got, r.doc_id
+        for budget, cut in zip(tokencounts.BUDGETS, r.cut_bytes, strict=True):
+            chars = tokencounts.longest_prefix(r.prefix_tokens, budget)
+            assert cut == len(text[:chars].encode()) and (counts[chars - 1] if chars else 0) <= budget and all(c > budget for c in counts[chars:])
 
 
 def test_query_rows(spark, library):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens string")
-    got = {r.doc_id: r for r in tokencounts.token_prefixes(docs, limit=64).collect()}
+    got = {r.doc_id: r for r in tokencounts.token_prefixes(docs, limit=64, budgets=(64, 3)).collect()}
     for i, t in enumerate(TEXTS):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), len(ids), len(ids) > 64)
-        assert np.frombuffer(got[i].piece_tokens, "<u4").sum() == len(ids) and np.frombuffer(got[i].piece_bytes, "<u4").sum() == got[i].n_bytes
-        kept = (t or "").encode()[: got[i].cut_bytes].decode()
-        assert len(library.encode(kept, add_special_tokens=False).ids) <= 64
+        assert tokencounts.unpack(got[i].prefix_tokens)[-1:].tolist() == ([len(ids)] if t else [])
+        for budget, cut in zip((64, 3), got[i].cut_bytes, strict=True):
+            assert len(library.encode((t or "").encode()[:cut].decode(), add_special_tokens=False).ids) <= budget
     assert tokencounts.token_prefixes(docs.limit(0)).count() == 0
+    assert "prefix_tokens" not in tokencounts.token_prefixes(docs, budgets=(), steps=False).columns
+
+
+def test_a_long_text_of_many_distinct_pieces(spark, library):
+    text = " ".join(f"w{k:x}q{k * 7919 % 99991}" for k in range(420_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = tokencounts.token_prefixes(docs).collect()
+    assert len(text) > 5_000_000 and r.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_permutation():
@@ -75,7 +116,6 @@ def test_shards_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3, "doc_id")
     docs = common.written(docs, "in")
     s = trainorder.write_shards(docs, str(tmp_path / "shards"), length=16, shard_records=128)
-    t = bpe.table(PATH)
     rows = trainorder.read_records(spark, s, 0, s.sequences)
     assert [r[0] for r in rows] == list(range(s.sequences)) and s.shards == -(-s.sequences // 128)
     assert trainorder.read_records(spark, s, 120, 20) == rows[120:140]
@@ -84,9 +124,9 @@ def test_shards_round_trip(spark, tmp_path):
         back.setdefault(doc, []).append((seq, ids))
     for i, text in enumerate(TEXTS):
         key = -(1 << 63) if i == 3 else i
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        at = bpe.piece_starts(raw, np.array([0, len(raw)])).tolist()
-        want = [x for b, e in zip(at, [*at[1:], len(raw)], strict=False) for x in t.encode_piece(bytes(raw[b:e]))]
+        # special strings are ordinary text to this operator, so the library gets the pieces of those texts
+        parts = regex.findall(PIECES, text) if "<|" in (text or "") else [text or ""]
+        want = [x for part in parts for x in library.encode(part, add_special_tokens=False).ids]
         assert [x for _, ids in sorted(back[key]) for x in ids] == want
     table = trainorder.shard_rows(spark, s).collect()
     assert sorted(r.slot for r in table) == list(range(s.sequences)) and any(r.doc_id is None for r in table)
