@@ -329,17 +329,45 @@ def test_toxicity(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     odd = [(2000, None), (2001, ""), (2002, "you GRUMPF."), (2003, "you bl-ockhead"), (2004, "the " * 50_000 + "vermin"), (None, "thing")]
+    odd += [(2005, "a g r u m p f here"), (2006, "such a bloxckhead"), (2007, "a ver min"), (2008, "er in the ing on"), (2009, "v e r m i n")]
     docs = frame(spark, rows + odd)
     model = toxicity.train(docs.select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = {r.doc_id: r for r in toxicity.toxicity(docs, model).select("doc_id", "score", "predicted").collect()}
     truth = dict(labels)
     assert sum(got[i].predicted == truth[i] for i in truth) >= 0.97 * len(truth)
-    assert [got[i].predicted for i in (2000, 2001, 2002, 2003, 2004)] == [0, 0, 1, 1, 1]
+    assert [got[i].predicted for i in range(2000, 2010)] == [0, 0, 1, 1, 1, 1, 1, 1, 0, 1]
     none = toxicity.train(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.toxicity(docs, none).filter("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def of_held_out(rows, truth, pred):
+    """(rows, recall, precision) of label 1 among held-out rows."""
+    own = [r for r in rows if r["held_out"]]
+    hit = sum(r[pred] == 1 and r[truth] == 1 for r in own)
+    return len(own), hit / max(1, sum(r[truth] for r in own)), hit / max(1, sum(r[pred] for r in own))
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = toxicity.op10_toxicity(spark, sf).join(labels, "doc_id").join(lang, "doc_id").collect()
+    n, recall, precision = of_held_out([r for r in rows if r.lang == "en"], "toxic", "predicted")
+    assert n > 400 and recall >= 0.88 and precision >= 0.95, (recall, precision)  # some labels are wrong
+    n, recall, precision = of_held_out(rows, "toxic", "predicted")  # toxic stems of the other languages are in clean words, too
+    assert n > 700 and recall >= 0.8 and precision >= 0.6, (recall, precision)
+
+
+def test_language_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").filter("lang IS NOT NULL")
+    rows = langid.op4_language_id(spark, sf).join(lang, "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
+    right = sum(r.lang == r.lang_pred for r in rows)
+    assert len(rows) > 2000 and right >= 0.97 * len(rows), right / len(rows)
+    assert {r.held_out for r in rows} == {True}
+
+
 # --- SQL and pipeline
 
 
