@@ -108,12 +108,18 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repeats: float | None
         F.floor("quota").cast("long").alias("whole"), (rest - before).alias("room"), "block_tokens"), "mix-blocks")
     right = F.broadcast(table) if table.count() <= BROADCAST_BLOCKS else table
     placed = joined.join(right, F.col("own").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
-    # a source has one block at most that is used in part
+    # a source has one block at most that is used in part: of its rows, in a keyed order, those up to the last that fits; only
+    # their ids, sizes and hashes are sorted
     partial = (F.col("room") > 0) & (F.col("room") < F.col("block_tokens"))
-    inside = Window.partitionBy("own").orderBy(keyed_hash(seed + 2, F.col("row.doc_id")), "row.doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.filter(partial).withColumn("more", (F.sum("n").over(inside) <= F.col("room")).cast("long"))
-    even = placed.filter(~partial).withColumn("more", (F.col("room") > 0).cast("long"))
-    return even.unionByName(cut).select("row", F.col("n").alias("tokens"), "weight", "block", "place", (F.col("whole") + F.col("more")).alias("uses"))
+    key = F.struct(keyed_hash(seed + 2, F.col("row.doc_id")).alias("hash"), F.col("row.doc_id").alias("id"))
+    narrow = placed.filter(partial).select("own", "room", "n", key.alias("key"))
+    upto = F.sum("n").over(Window.partitionBy("own").orderBy("key"))  # rows of one key are used together
+    last = narrow.select("own", "room", "key", upto.alias("upto")).filter("upto <= room").groupBy("own").agg(F.max("key").alias("last"))
+    last = written(last.select(F.col("own").alias("cut_of"), "last"), "mix-cuts")
+    # a row per source
+    cut = placed.join(F.broadcast(last) if last.count() <= BROADCAST_BLOCKS else last, F.col("own").eqNullSafe(F.col("cut_of")), "left")
+    more = F.when(partial, F.coalesce(key <= F.col("last"), F.lit(False))).otherwise(F.col("room") > 0).cast("long")
+    return cut.select("row", F.col("n").alias("tokens"), "weight", "block", "place", (F.col("whole") + more).alias("uses"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -144,14 +150,14 @@ e(k, lo, hi, rlo, rhi) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE
   FROM (SELECT k, lo, hi, rlo, rhi, {ENTROPY} * ln(count(*)) AS g, ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) AS h,
                pow(min(p) / max(p), (rlo + rhi) / 2 - 1) AS u FROM e, p WHERE k < {_STEPS} GROUP BY k, lo, hi, rlo, rhi)),
 a AS (SELECT greatest(CASE WHEN (SELECT -sum(p * ln(p)) >= {ENTROPY} * ln(count(*)) FROM p) THEN 1 ELSE lo END, CASE WHEN (SELECT max(p) / min(p) <= {REPEATS} FROM p) THEN 0 ELSE rhi END) AS a FROM e WHERE k = {_STEPS}),
-w AS (SELECT source, tokens, rows, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) AS weight,
-             round(pow(p, a - 1) * (SELECT pow(max(p), 1 - a) FROM p, a GROUP BY a), 9) AS quota, least({MOST_BLOCKS}, ceil(rows / {BLOCK_ROWS}))::BIGINT AS blocks FROM s JOIN p USING (source), a),
-r AS (SELECT d.*, w.weight, w.quota, w.tokens, h % blocks AS block FROM d JOIN w USING (source)),
+w AS (SELECT s.source, tokens, rows, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) AS weight,
+             round(pow(p, a - 1) * (SELECT pow(max(p), 1 - a) FROM p, a GROUP BY a), 9) AS quota, least({MOST_BLOCKS}, ceil(rows / {BLOCK_ROWS}))::BIGINT AS blocks FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source, a),
+r AS (SELECT d.*, w.weight, w.quota, w.tokens, h % blocks AS block FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
 b AS (SELECT source, block, sum(n) AS bn, any_value(quota) AS quota, any_value(tokens) AS tokens,
-             ('0x' || substr(md5('18|' || source || '|' || block), 1, 8))::BIGINT AS key FROM r GROUP BY source, block),
+             ('0x' || substr(md5('18|' || coalesce(source, '') || '|' || block), 1, 8))::BIGINT AS key FROM r GROUP BY source, block),
 o AS (SELECT *, row_number() OVER x AS place, (quota - floor(quota)) * tokens - (sum(bn) OVER (x ROWS UNBOUNDED PRECEDING) - bn) AS room FROM b WINDOW x AS (PARTITION BY source ORDER BY key, block)),
 f AS (SELECT r.doc_id, r.source, r.n, r.weight, r.block, o.place, o.quota, o.room, o.bn,
-             sum(r.n) OVER (PARTITION BY r.source, r.block ORDER BY ('0x' || substr(md5('19|' || r.doc_id), 1, 8))::BIGINT, r.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM r JOIN o ON o.source = r.source AND o.block = r.block)
+             sum(r.n) OVER (PARTITION BY r.source, r.block ORDER BY ('0x' || substr(md5('19|' || coalesce(r.doc_id::VARCHAR, '')), 1, 8))::BIGINT, r.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM r JOIN o ON o.source IS NOT DISTINCT FROM r.source AND o.block = r.block)
 SELECT doc_id, source, n::BIGINT AS n_tokens, round(weight, 9) AS weight, block, place,
        floor(quota)::BIGINT + CASE WHEN room <= 0 THEN 0 WHEN room >= bn OR upto <= room THEN 1 ELSE 0 END AS uses FROM f
 """
