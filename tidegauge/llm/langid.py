@@ -5,8 +5,8 @@ in ``BINS`` hashed bins.  Families are told apart by one linear SVM each against
 linear SVM for each pair of them, which vote (ties: the larger sum of margins).  The score is the family's calibrated
 probability times that of the closest pair that the language won.
 
-Training reads at most about ``SAMPLE`` labelled rows, an equal number for each language where there are enough, chosen by
-a hash of doc_id.
+Training reads about ``EACH`` labelled rows of each language (fewer with over 16 languages), all where a language has no
+more, chosen by a hash of doc_id.
 
 Defined cases: ``und`` with score 0 for a null text and for one without a letter; rows without a language aren't learned
 from; with one language, or none, to learn from, every text with a letter gets it, or ``und``; a null doc_id isn't held out
@@ -30,7 +30,9 @@ from . import wordbytes as wb
 from .common import bounded_batches, fields, fresh, read, released
 
 BINS = 1 << 12
-SAMPLE = 1600
+#: Labelled rows to learn from (the bounded sample): of each language, where there are up to SAMPLE / EACH of them; then an
+#: equal part of SAMPLE, LEAST at least.
+EACH, SAMPLE, LEAST = 400, 6400, 20
 #: Families of ISO 639-1 codes; any other code is a family by itself.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl no nb nn sv yi".split(),
@@ -111,13 +113,13 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, each: int = EACH) -> Model | None:
     """A model of ``docs`` (doc_id, text, lang) without the rows held out; None if no row has a language and a letter."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return None
-    each = max(2, sample // len(counts))
+    each = max(LEAST, min(each, SAMPLE // len(counts)))
     wanted = F.lit(False)
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     for lang, n in sorted(counts.items()):
@@ -131,7 +133,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 made = [(np.bincount(bins[a:b], minlength=BINS) / max(1, b - a) * 100).astype("<f4").tobytes() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array(made, pa.binary())], ["lang", "x"])
 
-    # about ``sample`` rows of 16 KB
+    # about ``each`` rows of 16 KB for each language
     got = rows.filter(wanted).select("lang", F.col("text").cast("string").alias("text")).transform(bounded_batches).mapInArrow(released(features), "lang string, x binary").collect()
     if not got:
         return None
