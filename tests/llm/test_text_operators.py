@@ -74,6 +74,7 @@ def test_exact_dedup(spark, corpus):
 
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a < b & c &lt; </turn>\n"), (1, 1, "assistant", '<turn role="user">'), (1, 2, "assistant", "<next/>"), (1, 3, 'we"ird<&', None), (2, 0, "assistant", ""), (None, 1, None, "x"), (None, 0, "user", "é😀"), (3, 0, "user", "t"), (3, 0, "user", "t")]
+    turns += [(4, k, "assistant" if k % 3 else "user", f"t{k}<") for k in range(700)]
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit("clash"))
     made = chatformat.format_conversations(df)
     back = made.select("conv_id", chatformat.read_turns(F.col("formatted")).alias("t"), chatformat.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("l"), "formatted").collect()

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
+#: Pieces whose places are added up at once.
+BLOCK = 64
 _END = "</turn>\n"
 _NEXT = "<next/>"
 
@@ -52,15 +54,24 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     pieces = grouped.select("conv_id", F.transform("turns", piece).alias("pieces"))
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
-    start = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>))")
+    # where each piece begins: within slices of BLOCK pieces, then over the slices, as an array that grows is copied each time
+    sized = F.transform("pieces", lambda p: F.struct((F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long").alias("size"), F.length(p["before"]).cast("long").alias("before"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("sized"), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.slice("sized", k * BLOCK + 1, F.lit(BLOCK)))
+    inner = F.transform(slices, lambda part: F.aggregate(part, _spans(F.lit(0).cast("long")), _add_span))
+    flat = pieces.select("conv_id", formatted.alias("formatted"), sized.alias("sized"))
+    cut = flat.select("conv_id", "formatted", inner.alias("parts"))
+    base = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda k: F.aggregate(F.slice("parts", F.lit(1), k), F.lit(0).cast("long"), lambda total, part: total + part["at"]))
+    spans = F.flatten(F.zip_with("parts", base, lambda part, at: F.transform(part["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length")))))
+    return cut.select("conv_id", "formatted", spans.alias("loss_spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["before"])
-        size = F.length(p["body"]).cast("long")
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        return F.struct((begin + size + F.length(p["after"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return pieces.select("conv_id", formatted.alias("formatted"), F.aggregate("pieces", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+def _spans(at: Column) -> Column:
+    return F.struct(at.alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+
+
+def _add_span(acc: Column, p: Column) -> Column:
+    span = F.struct((acc["at"] + p["before"]).alias("start"), p["length"].alias("length"))
+    return F.struct((acc["at"] + p["size"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
 
 def read_turns(formatted: Column) -> Column:
