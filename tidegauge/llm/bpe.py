@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +122,9 @@ class PieceTable:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.clear()
 
-    def values(self, piece: bytes) -> list[int]:
-        """What the table holds of a piece."""
-        return self.encode_piece(piece)
+    def values(self, pieces: list[bytes]) -> list[list[int]]:
+        """What the table holds of each piece."""
+        return [self.encode_piece(p) for p in pieces]
 
     def clear(self, most: int = 0) -> None:
         """Empty the table and give it room for ``most`` pieces, CACHE_PIECES at least."""
@@ -164,9 +165,9 @@ class PieceTable:
             sizes, flat = [], []
             for k in range(0, len(first), _ENCODED):
                 part = first[k : k + _ENCODED]
-                ids = [self.values(raw[a:b]) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+                ids = self.values([raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
                 sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat.append(np.fromiter((i for x in ids for i in x), self.pool.dtype, int(sizes[-1].sum())))
+                flat.append(np.fromiter(chain.from_iterable(ids), self.pool.dtype, int(sizes[-1].sum())))
             sizes, flat = np.concatenate(sizes), np.concatenate(flat)
             if self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.pool.dtype)])
@@ -205,22 +206,33 @@ class PrefixTable(PieceTable):
         self.valid: dict[tuple[int, int], bool] = {}
         self.clear()
 
-    def values(self, piece: bytes) -> list[int]:
-        return self.piece_prefix_counts(piece)[1:]
-
-    def piece_prefix_counts(self, piece: bytes) -> list[int]:
-        """Token counts of the prefixes of 0, 1, ... bytes of one piece."""
-        last, count = [-1], [0]
+    def values(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token counts of the prefixes of 1, 2, ... bytes of each piece; in sorted order, a piece goes on from the prefix it shares with the one before."""
+        out: list[list[int]] = [[]] * len(pieces)
+        before, last, count = b"", [-1], [0]
+        for k in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = pieces[k]
+            shared = min(len(before), len(piece))
+            if before[:shared] != piece[:shared]:
+                shared = next(i for i in range(shared) if before[i] != piece[i])
+            del last[shared + 1 :], count[shared + 1 :]
+            self._go_on(piece, last, count)
+            out[k] = count[1:]
+            before = piece
+        return out
+
+    def _go_on(self, piece: bytes, last: list[int], count: list[int]) -> None:
+        """Lengthen the last tokens and the counts of the piece's prefixes, of 0, 1, ... bytes, to the whole piece."""
         ranks, tails, valid = self.ranks, self.tails, self.valid
-        for j in range(1, len(piece) + 1):
+        for j in range(len(count), len(piece) + 1):
             for i in range(j - 1, -1, -1):
                 end = piece[i:j]
                 token = ranks.get(end)
                 if token is not None:
                     pair = (last[i], token)
                     if (ok := valid.get(pair)) is None:
-                        before = self.words[pair[0]] if pair[0] >= 0 else b""
-                        ok = self.core.encode_single_piece(before + end) == [t for t in pair if t >= 0]
+                        word = self.words[pair[0]] if pair[0] >= 0 else b""
+                        ok = self.core.encode_single_piece(word + end) == [t for t in pair if t >= 0]
                         if len(valid) > 1 << 18:
                             valid.clear()
                         valid[pair] = ok
@@ -230,7 +242,6 @@ class PrefixTable(PieceTable):
                         break
                 if end not in tails:  # no longer token ends here
                     raise ValueError("a prefix has no encoding: the vocabulary lacks a byte")
-        return count
 
 
 @lru_cache(maxsize=2)
