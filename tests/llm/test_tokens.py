@@ -112,7 +112,7 @@ def test_permutation():
     assert trainorder.feistel(np.arange(100), 100, 1).tolist() != trainorder.feistel(np.arange(100), 100, 2).tolist()
 
 
-def test_shards_round_trip(spark, tmp_path):
+def test_shards_round_trip(spark, library, tmp_path):
     docs = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3, "doc_id")
     docs = common.written(docs, "in")
     s = trainorder.write_shards(docs, str(tmp_path / "shards"), length=16, shard_records=128)
