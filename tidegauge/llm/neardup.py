@@ -4,7 +4,8 @@ Documents are sets of five-word shingles; two are linked at a Jaccard similarity
 
 1. Rows with the same sequence of words are collapsed first (map-side); a text stands for its copies from then on.
 2. Each text has ``trees`` labels of ``deepest`` MinHash values: its paths in the forest's prefix tries.  A trie is its labels
-   in sorted order (range-partitioned by tree and label); a node at a depth is a run of labels that share a prefix.
+   in sorted order (range-partitioned by tree and label, without
+   those that share no prefix at all); a node at a depth is a run of labels that share a prefix.
 3. The deepest nodes come first: their texts are verified on their whole shingle sets, and the similarities of the links
    found are counted.  A pair at similarity s is met at depth d with probability 1 - (1 - s^d)^trees; while that is under the
    target recall for the lowest similarity found, the matched prefix is shortened by one value.  A shorter prefix is worked
@@ -39,7 +40,7 @@ TREES = 16
 DEEPEST = 5
 RECALL = 0.999
 #: Texts, and bytes of shingles, of a tile.
-TILE, TILE_BYTES = 256, 8 << 20
+TILE, TILE_BYTES = 512, 8 << 20
 #: Bins of the similarities between the threshold and 1 in which links are counted.
 BINS = 20
 #: Texts whose shingles are fetched by a broadcast of their keys (of 16 bytes); more are fetched by a shuffle.
@@ -278,9 +279,14 @@ def near_duplicates(
         .select("digest", "copies", "first.doc_id", "first.key", "n_words", "signature"), "texts")
     paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr(F.col("signature"), t * (deepest * 4) + 1, F.lit(deepest * 4)))
     leaves = texts.select("digest", "n_words", F.posexplode(paths).alias("tree", "label"))
-    forest = written(leaves.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
+    # no prefix is shortened beyond this one, so a label that shares it with no other is in no node
+    shallowest = next((d for d in range(deepest, 1, -1) if met(threshold, d, trees) >= recall), 1)
+    rooted = leaves.withColumn("root", F.xxhash64(F.substring("label", 1, 4 * shallowest)))
+    shared = rooted.groupBy("tree", "root").count().filter("count > 1").select("tree", "root")
+    forest = rooted.join(shared, ["tree", "root"], "left_semi").drop("root")
+    forest = written(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
     stars, links = None, {}
-    for depth in range(deepest, 0, -1):
+    for depth in range(deepest, shallowest - 1, -1):
         found = _level(docs, texts, forest, depth, width, threshold, trees, deepest)
         for r in found.filter("digest IS NULL").groupBy("bin").agg(F.sum("texts").alias("n")).collect():  # BINS rows
             s = threshold + (1 - threshold) * r.bin / BINS
