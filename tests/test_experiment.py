@@ -141,3 +141,35 @@ def test_missing_values(spark):
     assert cleaning.drop_null(df, ["y"]).count() == 2
     with pytest.raises(EngineError):
         cleaning.apply_missing(df, "y", "error")
+
+
+def test_decimal_columns_have_the_moments_of_doubles(spark):
+    from tidegauge.operators import moments as M
+
+    rows = spark.range(300).selectExpr("'a' as group_id", "id % 5 as part", "cast(id % 13 as decimal(10,2)) as y", "cast(id % 7 as decimal(8,1)) as x", "cast(id % 11 + 1 as decimal(38,10)) as den", "cast(id % 2 as decimal(1,0)) as d")
+    plain = rows.selectExpr("group_id", "part", *(f"cast({c} as double) as {c}" for c in ("y", "x", "den", "d")))
+    for keys in (["group_id"], ["group_id", "part"]):
+        a, b = (M.group_summary(r, keys).orderBy(*keys).collect() for r in (rows, plain))
+        assert a == b
+
+
+def test_asof_moments_of_a_large_mean(spark):
+    """Against a dense panel: 1e9 or 1e9 + 1 on one day of each unit, and units without events."""
+    import numpy as np
+
+    from tidegauge.operators import outcomes as O
+
+    n = 400
+    exposures = spark.range(n).selectExpr("cast(id as string) as unit_id", "if(id % 2 = 0, 'c', 't') as group_id", "date_add(date'2024-01-01', cast(id % 3 as int)) as first_exposure_date")
+    stats = spark.range(n).filter("id % 5 <> 4").selectExpr("cast(id as string) as unit_id", "if(id % 2 = 0, 'c', 't') as group_id", "date_add(date'2024-01-01', cast(id % 3 + id % 4 as int)) as ds", "cast(id % 4 as int) as day_offset", "1L as n_events", "1e9 + cast(id % 2 as double) + cast(id % 7 as double) as sum_value", "0D as min_value", "0D as max_value")
+    got = {(str(r.ds), r.group_id): r for r in O.asof_moments(exposures, stats, "2024-01-08").collect()}
+    for day in range(8):
+        for arm, g in ((0, "c"), (1, "t")):
+            y = np.array([(1e9 + i % 2 + i % 7) if i % 5 != 4 and i % 3 + i % 4 <= day else 0.0 for i in range(arm, n, 2) if i % 3 <= day], np.longdouble)
+            r = got[f"2024-01-{day + 1:02d}", g]
+            want = float(((y - y.mean()) ** 2).sum())
+            assert r.n == len(y) and r.ref_y == pytest.approx(float(y.mean())) and r.cy2 == pytest.approx(want, rel=1e-9)
+    late = stats.filter("unit_id % 5 <> 4").join(exposures.select("unit_id").filter("unit_id % 5 <> 4"), "unit_id", "left_semi")
+    everyone = O.asof_moments(exposures.filter("unit_id % 5 <> 4"), late, "2024-01-20").filter("ds = date'2024-01-20' and group_id = 't'").first()
+    y = np.array([1e9 + 1 + i % 7 for i in range(1, n, 2) if i % 5 != 4])
+    assert everyone.cy2 == pytest.approx(((y - y.mean()) ** 2).sum(), rel=1e-6)

@@ -29,7 +29,7 @@ def test_binomial_intervals():
     assert abs(binomial.score_z(10, 100, 20, 100, lo)) == pytest.approx(1.959964, abs=1e-4)
     point, lo, hi = binomial.relative_exact(50, 100, 75, 100)
     assert point == pytest.approx(0.5) and lo < 0.5 < hi
-    assert binomial.route(5000, 10000, 5200, 10000, 0.025) == "asymptotic" and binomial.route(5, 100, 9, 100, 0.025) == "finite_sample"
+    assert binomial.asymptotic_serves([(5000, 10000), (5200, 10000)], 0.025) and not binomial.asymptotic_serves([(5, 100), (9, 100)], 0.025)
     assert binomial.fisher_one_sided(1, 10, 9, 10) == pytest.approx(0.000547, abs=1e-5)
 
 
@@ -88,3 +88,28 @@ def test_meta():
 def test_bracket_ranks():
     assert bracket_ranks(100, 0.5, 0.05) == (40, 61)
     assert bracket_ranks(5, 0.9, 0.05) is None
+
+
+def test_exact_ratio_is_the_inverted_test():
+    """Against all ratios of a fine grid: those inside aren't rejected at some control rate, those outside are at every one."""
+    from math import comb, log
+
+    def p_value(x, n, p):
+        mass = [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        return min(1.0, 2 * min(sum(mass[x:]), sum(mass[: x + 1])))
+
+    for x_c, n_c, x_t, n_t in ((4, 20, 9, 22), (5, 18, 10, 18), (12, 25, 11, 24)):
+        point, low, high = binomial.relative_exact(x_c, n_c, x_t, n_t, gamma=1e-4, grid=400)
+        assert low < point < high and abs(point - ((x_t / n_t) / (x_c / n_c) - 1)) < 1e-12
+
+        def largest(r, x_c=x_c, n_c=n_c, x_t=x_t, n_t=n_t):
+            best = 0.0
+            for k in range(1, 400):
+                p = k / 400
+                if r * p < 1:
+                    q = p_value(x_c, n_c, p) * p_value(x_t, n_t, r * p)
+                    best = max(best, q * (1 - log(q)) if q > 0 else 0.0)
+            return best
+
+        for end, inward in ((low, 1.05), (high, 0.95)):
+            assert largest((1 + end) * inward) > 0.05 - 0.002 and largest((1 + end) / inward) < 0.05 + 0.002

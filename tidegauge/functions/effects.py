@@ -82,11 +82,11 @@ def ratio_difference(moments: DataFrame, control: str, keys: list[str] | None =
     return both.select(*(keys or []), "group_id", (rt - rc).alias("diff"), F.sqrt(vt + vc).alias("se"))
 
 
-def cuped(moments: DataFrame, control: str, alpha: float = 0.05) -> DataFrame:
+def cuped(moments: DataFrame, control: str, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """Scalar CUPED of each pair: theta is sum of Cov(y, x)/n over sum of Var(x)/n of the arms whose x varies; means are adjusted to the
     pooled mean of x; the difference's error is of the residuals, the lift's takes the moving anchor into account."""
     z = norm_ppf(1 - alpha / 2)
-    both = arms_side_by_side(moments, control)
+    both = arms_side_by_side(moments, control, keys)
     v = lambda p, c: F.try_divide(F.col(f"{p}_{c}"), F.col(f"{p}_n") - 1)
     live = lambda p, c: F.when(F.col(f"{p}_cx2") > 0, v(p, c) / F.col(f"{p}_n")).otherwise(0.0)
     wt = F.col("t_n") / (F.col("t_n") + F.col("c_n"))
@@ -100,7 +100,7 @@ def cuped(moments: DataFrame, control: str, alpha: float = 0.05) -> DataFrame:
     # the log ratio moves with an arm's mean of x through its own adjustment and through the anchor of both
     se_log = F.sqrt(residual("t", theta * (wc + wt * jt / jc)) / (jt * jt) + residual("c", theta * (wt + wc * jc / jt)) / (jc * jc))
     log = stable_log_ratio(jt, jc)
-    return both.select("group_id", "theta", jt.alias("mean_treatment"), jc.alias("mean_control"), (jt - jc).alias("diff"), F.sqrt(residual("t", theta) + residual("c", theta)).alias("diff_se"), F.expm1(log).alias("lift"), se_log.alias("se"), F.expm1(log - z * se_log).alias("lb"), F.expm1(log + z * se_log).alias("ub"))
+    return both.select(*(keys or []), "group_id", "theta", jt.alias("mean_treatment"), jc.alias("mean_control"), (jt - jc).alias("diff"), F.sqrt(residual("t", theta) + residual("c", theta)).alias("diff_se"), F.expm1(log).alias("lift"), se_log.alias("se"), F.expm1(log - z * se_log).alias("lb"), F.expm1(log + z * se_log).alias("ub"))
 
 
 def late(moments: DataFrame, control: str, keys: list[str] | None = None) -> DataFrame:

@@ -19,22 +19,24 @@ def _d(c: Column) -> Column:
 
 
 def moment_columns(x: bool = False, den: bool = False, d: bool = False) -> list[Column]:
-    n = F.count("y")
+    """Aggregates of the slots as doubles: a DECIMAL's mean has four more digits than the column, and a sum may overflow."""
+    y, cx, cd, take = (_d(F.col(c)) for c in ("y", "x", "den", "d"))
+    n = F.count(y)
     zero = F.sum(F.lit(0.0))
-    out = [n.alias("n"), F.avg("y").alias("ref_y"), zero.alias("cy1"), (n * F.var_pop("y")).alias("cy2")]
+    out = [n.alias("n"), F.avg(y).alias("ref_y"), zero.alias("cy1"), (n * F.var_pop(y)).alias("cy2")]
     if x:
-        out += [F.avg("x").alias("ref_x"), zero.alias("cx1"), (n * F.var_pop("x")).alias("cx2"), (n * F.covar_pop("x", "y")).alias("cxy")]
+        out += [F.avg(cx).alias("ref_x"), zero.alias("cx1"), (n * F.var_pop(cx)).alias("cx2"), (n * F.covar_pop(cx, y)).alias("cxy")]
     if den:
-        third = n * F.skewness("den") * F.pow(F.var_pop("den"), 1.5)
-        out += [F.avg("den").alias("ref_den"), zero.alias("cden1"), (n * F.var_pop("den")).alias("cden2"), F.when(F.var_pop("den") > 0, third).otherwise(0.0).alias("cden3"), (n * F.covar_pop("y", "den")).alias("cyden")]
+        third = n * F.skewness(cd) * F.pow(F.var_pop(cd), 1.5)
+        out += [F.avg(cd).alias("ref_den"), zero.alias("cden1"), (n * F.var_pop(cd)).alias("cden2"), F.when(F.var_pop(cd) > 0, third).otherwise(0.0).alias("cden3"), (n * F.covar_pop(y, cd)).alias("cyden")]
         if x:
-            out.append((n * F.covar_pop("x", "den")).alias("cxden"))
+            out.append((n * F.covar_pop(cx, cd)).alias("cxden"))
     if d:
-        taken = F.when(F.col("d") == 1, F.col("y"))
-        shift = F.avg(taken) - F.avg("y")
-        out += [_d(F.sum("d")).alias("sum_d"), (n * F.covar_pop(_d(F.col("d")), "y")).alias("cyd"), F.coalesce(F.count(taken) * (F.var_pop(taken) + shift * shift), F.lit(0.0)).alias("cy2d")]
+        taken = F.when(take == 1, y)
+        shift = F.avg(taken) - F.avg(y)
+        out += [F.sum(take).alias("sum_d"), (n * F.covar_pop(take, y)).alias("cyd"), F.coalesce(F.count(taken) * (F.var_pop(taken) + shift * shift), F.lit(0.0)).alias("cy2d")]
         if x:
-            out.append((n * F.covar_pop(_d(F.col("d")), "x")).alias("cxd"))
+            out.append((n * F.covar_pop(take, cx)).alias("cxd"))
     return out
 
 
@@ -46,12 +48,13 @@ def group_summary(totals: DataFrame, keys: list[str] | None = None, *, binary: b
     return totals.filter(F.col("y").isNotNull()).groupBy(*keys).agg(*moment_columns("x" in has, "den" in has, "d" in has), *extra)
 
 
-def cluster_summary(totals: DataFrame, cluster: str = "cluster_id", *, uptake: bool = False) -> DataFrame:
-    """Two stages: units to clusters (totals and sizes), clusters to arms; the denominator and the x slot are the cluster's
-    size, or with ``uptake`` x is its uptake total; x_role says which."""
+def cluster_summary(totals: DataFrame, cluster: str = "cluster_id", *, uptake: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Two stages: units to clusters (totals and sizes), clusters to arms (and ``keys``); the denominator and the x slot are the
+    cluster's size, or with ``uptake`` x is its uptake total; x_role says which."""
+    keys = keys or []
     x = F.sum(_d(F.col("d"))) if uptake else F.count("y").cast("double")
-    clusters = totals.filter(F.col("y").isNotNull()).groupBy("group_id", cluster).agg(F.sum("y").alias("y"), F.count("y").cast("double").alias("den"), x.alias("x"))
-    return group_summary(clusters).withColumn("x_role", F.lit("uptake_total" if uptake else "cluster_size"))
+    clusters = totals.filter(F.col("y").isNotNull()).groupBy(*keys, "group_id", cluster).agg(F.sum(_d(F.col("y"))).alias("y"), F.count("y").cast("double").alias("den"), x.alias("x"))
+    return group_summary(clusters, [*keys, "group_id"]).withColumn("x_role", F.lit("uptake_total" if uptake else "cluster_size"))
 
 
 def merge(moments: DataFrame, keys: list[str]) -> DataFrame:

@@ -174,32 +174,46 @@ def winsorize(totals: DataFrame, lower: float | None = None, upper: float | None
 
 
 def daily_moments(exposures: DataFrame, stats: DataFrame, edge: str, aggregation: str = "sum") -> DataFrame:
-    """Per calendar day and arm: moments of the day's y over all units exposed by then, without a spine: zeros are counted."""
-    y = {"sum": F.col("sum_value"), "count": F.col("n_events").cast("double"), "conversion": F.lit(1.0)}[aggregation]
-    active = stats.filter(F.col("ds") <= F.lit(edge).cast("date")).groupBy("ds", "group_id").agg(F.count("*").alias("k"), F.avg(y).alias("m"), (F.count("*") * F.var_pop(y)).alias("s"))
-    return _with_zeros(exposures, active, edge)
+    """Per calendar day and arm: moments of the day's y, without a spine: over all units exposed by then, zeros counted; for
+    avg_event, min and max over the units with an event that day.  ``aggregation`` may be conversion."""
+    n, total = F.col("n_events").cast("double"), F.col("sum_value").cast("double")
+    y = {"sum": total, "count": n, "conversion": F.lit(1.0), "avg_calendar_day": total, "avg_event": total / n, "min": F.col("min_value").cast("double"), "max": F.col("max_value").cast("double")}.get(aggregation)
+    if y is None:
+        raise EngineError("metric.day_aggregation", f"{aggregation!r} has no value for a day", aggregation=aggregation)
+    active = stats.filter(F.col("ds") <= F.lit(edge).cast("date")).groupBy("ds", "group_id").agg(F.count(y).alias("k"), F.avg(y).alias("m"), (F.count(y) * F.var_pop(y)).alias("s"))
+    if aggregation in _ZERO:
+        return _with_zeros(exposures, active, edge)
+    return active.filter("k > 0").select("ds", "group_id", F.col("k").alias("n"), F.col("m").alias("ref_y"), F.lit(0.0).alias("cy1"), F.col("s").alias("cy2"))
 
 
 def asof_moments(exposures: DataFrame, stats: DataFrame, edge: str, aggregation: str = "sum") -> DataFrame:
     """Per calendar day and arm: moments of y cumulated from exposure to that day, over all units exposed by then.
 
-    Only active days carry a change of a unit's total, so the sums of y and of y squared change by (total, total squared)
-    differences on those days; running sums over days and arms give every day's moments: no unit-by-day spine.  Totals are
-    taken as differences from the arm's final mean, so the squares don't cancel.
+    Only active days carry a change of a unit's total, so the sums of y and of y squared of the units that have been active
+    change by differences on those days; running sums over days and arms give every day's moments, and the units that haven't
+    are zeros that are counted: no unit-by-day spine.  Totals are taken as differences from the mean of the arm's final ones,
+    so a large mean doesn't cancel; a day whose totals are a small part of the final ones keeps their absolute precision.
     """
-    day = F.when(F.col("sum_value").isNotNull(), {"sum": F.col("sum_value"), "count": F.col("n_events").cast("double"), "conversion": F.lit(1.0)}[aggregation]).otherwise(0.0)
-    scoped = stats.filter(F.col("ds") <= F.lit(edge).cast("date")).withColumn("v", day)
+    value = {"sum": F.col("sum_value").cast("double"), "count": F.col("n_events").cast("double"), "conversion": F.lit(1.0)}.get(aggregation)
+    if value is None:
+        raise EngineError("metric.day_aggregation", f"{aggregation!r} doesn't cumulate over days", aggregation=aggregation)
+    scoped = stats.filter(F.col("ds") <= F.lit(edge).cast("date")).withColumn("v", F.coalesce(value, F.lit(0.0)))
     order = Window.partitionBy("unit_id").orderBy("ds")
     upto = F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0))
     if aggregation == "conversion":
         upto = F.least(upto, F.lit(1.0))
-    run = scoped.withColumn("now", upto).withColumn("was", F.coalesce(F.lag("now").over(order), F.lit(0.0)))
-    change = run.groupBy("ds", "group_id").agg(F.sum(F.col("now") - F.col("was")).alias("dy"), F.sum((F.col("now") - F.col("was")) * (F.col("now") + F.col("was"))).alias("dy2"))
-    grid = exposure_grid(exposures, edge)
+    centre = scoped.groupBy("group_id", "unit_id").agg(F.sum("v").alias("v")).groupBy("group_id").agg(F.avg("v").alias("centre"))  # a row per arm
+    run = scoped.withColumn("now", upto).withColumn("was", F.lag("now").over(order)).join(F.broadcast(centre), "group_id")
+    now, was = F.col("now") - F.col("centre"), F.col("was") - F.col("centre")
+    step, first = F.col("now") - F.col("was"), F.col("was").isNull()
+    change = run.groupBy("ds", "group_id").agg(
+        F.count_if(first).alias("dk"), F.sum(F.when(first, now).otherwise(step)).alias("dy"), F.sum(F.when(first, now * now).otherwise(step * (now + was))).alias("dy2"), F.first("centre").alias("centre"))
     line = Window.partitionBy("group_id").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(change, ["ds", "group_id"], "left").select("ds", "group_id", "n", F.sum(F.coalesce("dy", F.lit(0.0))).over(line).alias("s1"), F.sum(F.coalesce("dy2", F.lit(0.0))).over(line).alias("s2"))
-    mean = F.col("s1") / F.col("n")
-    return full.filter("n > 0").select("ds", "group_id", "n", mean.alias("ref_y"), F.lit(0.0).alias("cy1"), F.greatest(F.col("s2") - F.col("n") * mean * mean, F.lit(0.0)).alias("cy2"))
+    active = exposure_grid(exposures, edge).join(change, ["ds", "group_id"], "left").select(
+        "ds", "group_id", F.sum(F.coalesce("dk", F.lit(0))).over(line).alias("k"), F.sum(F.coalesce("dy", F.lit(0.0))).over(line).alias("s1"), F.sum(F.coalesce("dy2", F.lit(0.0))).over(line).alias("s2"),
+        F.last("centre", ignorenulls=True).over(line).alias("centre"))
+    mean = F.col("s1") / F.col("k")
+    return _with_zeros(exposures, active.filter("k > 0").select("ds", "group_id", "k", (F.col("centre") + mean).alias("m"), F.greatest(F.col("s2") - F.col("k") * mean * mean, F.lit(0.0)).alias("s")), edge)
 
 
 def exposure_grid(exposures: DataFrame, edge: str) -> DataFrame:

@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dimension
-from .moments import moment_columns
+from .moments import cluster_summary, moment_columns
 
 
-def breakouts(totals: DataFrame, properties: list[str]) -> DataFrame:
-    """(breakout, segment, group_id, moments): every property's segments, from one scan (grouping by unpivoted labels)."""
-    has = set(totals.columns)
+def labelled(totals: DataFrame, properties: list[str]) -> DataFrame:
+    """``totals`` with y, a row for each property: breakout and segment."""
     labels = F.explode(F.array(*(F.struct(F.lit(p).alias("breakout"), dimension(F.col(p)).alias("segment")) for p in properties)))
-    rows = totals.filter(F.col("y").isNotNull()).select("*", labels.alias("_label")).select("*", "_label.*")
+    return totals.filter(F.col("y").isNotNull()).select("*", labels.alias("_label")).select("*", "_label.*")
+
+
+def breakouts(totals: DataFrame, properties: list[str], cluster: str | None = None) -> DataFrame:
+    """(breakout, segment, group_id, moments): every property's segments, from one scan (grouping by unpivoted labels); with
+    ``cluster`` units are collapsed to their clusters within each segment first."""
+    has = set(totals.columns)
+    rows = labelled(totals, properties)
+    if cluster:
+        return cluster_summary(rows, cluster, keys=["breakout", "segment"])
     return rows.groupBy("breakout", "segment", "group_id").agg(*moment_columns("x" in has, "den" in has, "d" in has))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import diagnostics, effects
-from ..operators import designs, dims, segments
+from ..operators import designs, dims, segments, winsor
 from ..operators import exposures as X
 from ..operators import moments as M
 from ..operators import outcomes as O
@@ -87,7 +87,7 @@ class Reader:
             raise EngineError("readout.unknown_metric", f"{name!r}", metric=name)
         return self.defs.metrics[name]
 
-    def totals(self, name: str) -> DataFrame:
+    def totals(self, name: str, clip: bool = True) -> DataFrame:
         """unit_id, group_id, y (and den, x): one row per eligible unit."""
         m = self._metric(name)
         conditions = tuple((f["property"], f["op"], tuple(f["values"])) for f in m.filters)
@@ -101,7 +101,7 @@ class Reader:
             f = self.defs.fact(m.fact)
             events = O.metric_events(self.facts(self.defs.source_of(m.fact)), m.fact, f.column, [tuple(c) for c in conditions], "skip")
             out = out.join(O.pre_period_stats(events, self.exposures(), m.n_pre_periods), "unit_id", "left")
-        if m.winsorize:
+        if m.winsorize and clip:
             w = m.winsorize
             bounds = (w.get("lower_bound"), w.get("upper_bound")) if "lower_bound" in w or "upper_bound" in w else None
             out = O.winsorize(out, w.get("lower_percentile"), w.get("upper_percentile"), bounds=bounds)
@@ -113,35 +113,51 @@ class Reader:
             return M.cluster_summary(self.totals(name), self.exp.cluster)
         return M.group_summary(self.totals(name), keys, binary=m.type in ("conversion", "retention"))
 
+    @property
+    def alpha(self) -> float:
+        return self.exp.alpha / (len(self.exp.metrics) if self.exp.correction == "bonferroni" else 1)
+
     def _contrast(self, m: Metric, moments: DataFrame, keys: list[str] | None = None) -> DataFrame:
-        alpha = self.exp.alpha / (len(self.exp.metrics) if self.exp.correction == "bonferroni" else 1)
-        if m.type == "ratio" or self.exp.cluster and not keys:
-            r = effects.ratio_lift(moments, self.exp.control, alpha, keys)
+        none = F.lit(None).cast("string").alias("reason")
+        if m.type == "ratio" or self.exp.cluster:
+            r = effects.ratio_lift(moments, self.exp.control, self.alpha, keys)
             return r.select(*(keys or []), "group_id", F.col("ratio_treatment").alias("treatment"), F.col("ratio_control").alias("control"), "lift", "se", "lb", "ub", "reason")
-        if m.n_pre_periods and not keys:
-            r = effects.cuped(moments, self.exp.control, alpha)
-            return r.select("group_id", F.col("mean_treatment").alias("treatment"), F.col("mean_control").alias("control"), "lift", "se", "lb", "ub", F.lit(None).cast("string").alias("reason"))
-        r = effects.relative_lift(moments, self.exp.control, alpha, keys)
+        if m.n_pre_periods:
+            r = effects.cuped(moments, self.exp.control, self.alpha, keys)
+            return r.select(*(keys or []), "group_id", F.col("mean_treatment").alias("treatment"), F.col("mean_control").alias("control"), "lift", "se", "lb", "ub", none)
+        r = effects.relative_lift(moments, self.exp.control, self.alpha, keys)
         return r.select(*(keys or []), "group_id", F.col("mean_treatment").alias("treatment"), F.col("mean_control").alias("control"), "lift", "se", "lb", "ub", "reason")
 
     def run(self, metrics: list[str] | None = None) -> DataFrame:
-        """A row per metric and treated arm; what can't be estimated is a row with a reason."""
+        """A row per metric and treated arm; what can't be estimated is a row with a reason.
+
+        A mean with percentile winsorization has the influence of its estimated cut points in its error (`winsorized_lift`).
+        """
         out = []
+        none = F.lit(None).cast("string").alias("reason")
         for name in metrics or self.exp.metrics:
             m = self._metric(name)
             if m.type in ("total", "active"):
                 raise EngineError("readout.report_only", f"{name!r} is for calendar reports", metric=name)
+            w = m.winsorize or {}
+            cut = w.get("lower_percentile"), w.get("upper_percentile")
             if m.type == "quantile":
-                r = designs.quantile_lift(self.totals(name), m.q, self.exp.control, self.exp.alpha)
-                r = r.select("group_id", F.col("point").alias("treatment"), F.col("point_control").alias("control"), "lift", "se", "lb", "ub", F.lit(None).cast("string").alias("reason"))
+                r = designs.quantile_lift(self.totals(name), m.q, self.exp.control, self.alpha)
+                r = r.select("group_id", F.col("point").alias("treatment"), F.col("point_control").alias("control"), "lift", "se", "lb", "ub", none)
+            elif m.type == "mean" and any(c is not None for c in cut) and not self.exp.cluster and not m.n_pre_periods:
+                r = winsor.winsorized_lift(self.totals(name, clip=False), *cut, self.exp.control, self.alpha)
+                r = r.select("group_id", F.col("mean_treatment").alias("treatment"), F.col("mean_control").alias("control"), "lift", "se", "lb", "ub", none)
             else:
                 r = self._contrast(m, self.moments(name))
             out.append(r.select(F.lit(name).alias("metric"), *r.columns))
         return reduce(DataFrame.unionByName, out)
 
     def breakout(self, name: str, properties: list[str]) -> DataFrame:
-        """Lift per segment of unit properties known before exposure, all properties in one pass."""
+        """Lift per segment of unit properties known before exposure, all properties in one pass; clusters are collapsed within
+        each segment, and covariates adjust within it."""
         m = self._metric(name)
+        if m.type == "quantile":
+            raise EngineError("readout.breakout_quantile", "a quantile has no moments by segment", metric=name)
         totals = self.totals(name)
         for p in properties:
             source = next((s for s in self.defs.fact_sources.values() for q in s.properties if q.name == p and q.as_of != "event_time"), None)
@@ -151,15 +167,29 @@ class Reader:
             rows = self.facts(source)
             values = dims.static_property(rows, p) if as_of == "static" else dims.pre_exposure_property(self.exposures(), rows, p)
             totals = totals.join(values, "unit_id", "left")
-        return self._contrast(m, segments.breakouts(totals, properties), ["breakout", "segment"])
+        return self._contrast(m, segments.breakouts(totals, properties, self.exp.cluster), ["breakout", "segment"])
 
-    def daily(self, name: str) -> DataFrame:
+    def _day_axis(self, name: str) -> tuple[DataFrame, DataFrame, str, str]:
+        """(exposures, the metric's unit-day statistics, last day, aggregation) of a metric that has a value for each day."""
         m = self._metric(name)
-        return O.daily_moments(self.exposures(), self.stats(m.fact, value=m.type == "mean" and m.aggregation != "count"), self.edge(m.fact), "conversion" if m.type == "conversion" else m.aggregation)
+        if self.exp.cluster:
+            raise EngineError("readout.day_cluster", "moments by day are of units; the experiment is clustered", cluster=self.exp.cluster)
+        if m.type not in ("mean", "conversion") or m.winsorize:
+            raise EngineError("readout.day_metric", f"{name!r} has no value for each day", metric=name, type=m.type)
+        conditions = tuple((f["property"], f["op"], tuple(f["values"])) for f in m.filters)
+        stats = self.stats(m.fact, conditions, m.type == "mean" and m.aggregation != "count")
+        a, b = m.outcome.days
+        stats = stats.filter(F.col("day_offset") >= a) if a else stats
+        stats = stats.filter(F.col("day_offset") < b) if b is not None else stats
+        return self.exposures(), stats, self.edge(m.fact), "conversion" if m.type == "conversion" else m.aggregation
+
+    def daily(self, name: str) -> DataFrame:
+        """Moments of each calendar day's value, of the metric's events inside its window."""
+        return O.daily_moments(*self._day_axis(name))
 
     def asof(self, name: str) -> DataFrame:
-        m = self._metric(name)
-        return O.asof_moments(self.exposures(), self.stats(m.fact, value=m.type == "mean" and m.aggregation != "count"), self.edge(m.fact), "conversion" if m.type == "conversion" else m.aggregation)
+        """Moments of the values cumulated to each calendar day, of the metric's events inside its window."""
+        return O.asof_moments(*self._day_axis(name))
 
     def asof_lift(self, name: str, rho: float = 0.1) -> DataFrame:
         return effects.asymptotic_sequence(self.asof(name), self.exp.control, self.exp.alpha, rho)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .errors import EngineError
 
+#: Column contracts.
 EVENTS = {"unit_id": "string", "ts": "timestamp", "value": "double"}
 EXPOSURES = {"experiment_id": "string", "unit_id": "string", "group_id": "string", "first_exposure_ts": "timestamp", "first_exposure_date": "date"}
 UNIT_DAY_STATS = {"unit_id": "string", "ds": "date", "n_events": "bigint", "sum_value": "double", "min_value": "double", "max_value": "double"}
