@@ -58,6 +58,51 @@ def test_reader(spark):
     assert r.daily("spend").count() and r.asof_lift("spend").count()
     assert set(r.srm()) == {"n", "chi2", "p_value", "log_e", "is_srm"}
     r.close()
+    for name, code in (("back", "day_metric"), ("spend_per_click", "day_metric")):
+        with pytest.raises(EngineError, match=code):
+            r.daily(name)
+    d = demo_definitions()
+    d["experiments"][0]["cluster"] = "tier"
+    d["metrics"][0]["n_pre_periods"] = 3
+    clustered = from_definitions(spark, d, "demo")
+    with pytest.raises(EngineError, match="day_cluster"):
+        clustered.asof("spend")
+    clustered.close()
+    d["experiments"][0].pop("cluster")
+    adjusted = from_definitions(spark, d, "demo")
+    plain = {x.segment: x for x in r.breakout("spend", ["tier"]).collect()}
+    rows = adjusted.breakout("spend", ["tier"]).collect()
+    assert rows and any(x.se != plain[x.segment].se for x in rows)  # a covariate adjusts within each segment
+    adjusted.close()
+
+
+def test_winsorized_metric(spark):
+    from tidegauge.catalog.misc import demo_view
+    from tidegauge.operators import winsor
+
+    demo_view(spark, "/root/testdata/sf0.001")
+    d = demo_definitions()
+    d["metrics"][0]["winsorize"] = {"upper_percentile": 0.9}
+    r = from_definitions(spark, d, "demo")
+    got, want = r.run(["spend"]).first(), winsor.winsorized_lift(r.totals("spend", clip=False), None, 0.9, "control").first()
+    assert (got.lift, got.se, got.lb) == pytest.approx((want.lift, want.se, want.lb))
+    r.close()
+
+
+def test_trend_by_dimension_and_filter(spark):
+    from tidegauge.catalog.misc import demo_view
+    from tidegauge.plans.trends import MetricTrends
+
+    demo_view(spark, "/root/testdata/sf0.001")
+    d = demo_definitions()
+    for m in d["metrics"]:
+        if m["name"] in ("buyers", "revenue"):
+            m["filters"] = [{"property": "tier", "op": "in", "values": ["0", "1"]}]
+    trends = MetricTrends(spark, load_definitions(d), "unit_id")
+    for name, agg in (("buyers", "count(DISTINCT unit_id)"), ("revenue", "sum(value)")):
+        got = {(str(r.period), r.tier): r.value for r in trends.metric(name, "week", "2024-01-01", "2024-01-21", by="tier").collect()}
+        want = spark.sql(f"SELECT cast(date_trunc('week', ts) as date) AS p, tier, {agg} AS v FROM demo_events WHERE event = 'purchase' AND tier IN ('0', '1') AND cast(ts as date) BETWEEN date'2024-01-01' AND date'2024-01-21' GROUP BY 1, 2").collect()
+        assert got == {(str(r.p), r.tier): pytest.approx(r.v) for r in want} and got
 
 
 def test_allocation_agrees(spark):

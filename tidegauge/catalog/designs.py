@@ -37,8 +37,8 @@ def switchback_effect(spark, sf):
     return rounded(D.switchback_effect(D.switchback_contributions(D.switchback_periods(_steps(spark, sf), 2))))
 
 
-_POL = """WITH o AS (SELECT user_id::VARCHAR AS unit_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, event_type AS action, (user_id % 2) AS context, 0.2::DOUBLE AS propensity, coalesce(value, 0) AS reward FROM events),
-tr AS (SELECT * FROM o WHERE t <= 4 AND unit_id IN (SELECT unit_id FROM o WHERE t = 4)),
+_POL = """WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_type AS action, (user_id % 2) AS context, 0.2::DOUBLE AS propensity, coalesce(value, 0) AS reward FROM events),
+tr AS (SELECT user_id || '-' || (i // 4) AS unit_id, i % 4 + 1 AS t, action, context, propensity, reward FROM o),
 pol(policy, context, action, p) AS (SELECT 'target', c, a, CASE WHEN a = 'view' THEN 0.4 ELSE 0.15 END::DOUBLE FROM (SELECT unnest([0, 1]) AS c) q, (SELECT unnest(['signup', 'view', 'click', 'purchase', 'error']) AS a) r
   UNION ALL SELECT 'reference', c, a, CASE WHEN a = 'click' AND c = 0 THEN 0.3 WHEN c = 0 THEN 0.175 ELSE 0.2 END::DOUBLE FROM (SELECT unnest([0, 1]) AS c) q, (SELECT unnest(['signup', 'view', 'click', 'purchase', 'error']) AS a) r),
 w AS (SELECT policy, unit_id, t, reward, exp(sum(ln(p / propensity)) OVER (PARTITION BY policy, unit_id ORDER BY t)) AS w FROM tr JOIN pol USING (context, action)),
@@ -48,11 +48,11 @@ v AS (SELECT policy, t, sum(w * reward) / sum(w) AS value, sum(w) * sum(w) / sum
 def _trace(spark, sf):
     from pyspark.sql import Window
 
+    """Every event: a user's events in order, in trajectories of four decisions (the last may be shorter)."""
     f = facts(spark, sf)
-    t = F.row_number().over(Window.partitionBy("unit_id").orderBy("event_id"))
-    ranked = f.select("unit_id", t.alias("t"), F.col("event").alias("action"), (F.col("user_id") % 2).cast("int").alias("context"), F.lit(0.2).alias("propensity"), F.coalesce("value", F.lit(0.0)).alias("reward")).filter("t <= 4")
-    whole = ranked.groupBy("unit_id").count().filter("count = 4").select("unit_id")
-    return ranked.join(whole, "unit_id", "left_semi")
+    i = F.row_number().over(Window.partitionBy("unit_id").orderBy("event_id")) - 1
+    numbered = f.withColumn("i", i)
+    return numbered.select(F.concat_ws("-", "unit_id", F.floor(F.col("i") / 4)).alias("unit_id"), (F.col("i") % 4 + 1).alias("t"), F.col("event").alias("action"), (F.col("user_id") % 2).cast("int").alias("context"), F.lit(0.2).alias("propensity"), F.coalesce("value", F.lit(0.0)).alias("reward"))
 
 
 def _policies(spark):

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions import power
 from ..operators import moments as M
 from ..plans.definitions import admit_read_only_sql
@@ -19,14 +20,17 @@ from .pipeline import _LIFT, _TOT, _sums
 
 
 def scratch(spark) -> str:
-    """A fresh folder: under spark.checkpoint.dir, or of our own where that is unset."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset, a local master gets one of its own and a cluster is refused."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.no_shared_folder", "spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="tidegauge-")
         spark.sparkContext.setCheckpointDir(there)
     return f"{there.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Fixed values of the demonstration: declarations in the definition format.
 def demo_definitions(source: str = "demo_events") -> dict:
     return {
         "fact_sources": [{
@@ -69,6 +73,50 @@ def declared_experiment(spark, sf):
     return rounded(reader.run(["spend", "bought", "back"]).select("metric", "group_id", "treatment", "control"))
 
 
+_DAYS = f"""WITH ev AS (SELECT user_id::VARCHAR AS unit_id, user_id, ts, event_type AS event, value FROM events),
+x AS (SELECT unit_id, CASE WHEN any_value(user_id) % 2 = 0 THEN 'control' ELSE 'treatment' END AS group_id, min(ts) AS fts, min(ts)::DATE AS fd FROM ev WHERE event = 'view' AND ts::DATE BETWEEN DATE '{START}' AND DATE '{EDGE}' GROUP BY 1),
+p AS (SELECT e.unit_id, e.ts::DATE AS d, sum(value) AS v FROM ev e JOIN x USING (unit_id) WHERE e.ts > fts AND event = 'purchase' AND value IS NOT NULL AND user_id % 3 = 1 AND date_diff('day', fd, e.ts::DATE) < 3 GROUP BY ALL),
+days AS (SELECT unnest(generate_series((SELECT min(fd) FROM x), DATE '{EDGE}', INTERVAL 1 DAY))::DATE AS ds),
+y AS (SELECT ds, group_id, x.unit_id, coalesce((SELECT sum(v) FROM p WHERE p.unit_id = x.unit_id AND {{match}}), 0) AS y FROM x JOIN days ON fd <= ds)
+SELECT ds, group_id, count(*) AS n, round(avg(y), 5) AS ref_y, round(count(*) * var_pop(y), 3) AS cy2 FROM y GROUP BY ALL"""
+
+
+def _filtered_reader(spark, sf):
+    d = demo_definitions(demo_view(spark, sf))
+    d["metrics"][0]["filters"] = [{"property": "tier", "op": "equals", "values": ["1"]}]
+    return from_definitions(spark, d, "demo")
+
+
+@query(_DAYS.format(match="d = ds"))
+def declared_daily(spark, sf):
+    """A filtered metric with a window, by calendar day."""
+    return _filtered_reader(spark, sf).daily("spend").select("ds", "group_id", "n", F.round("ref_y", 5).alias("ref_y"), F.round("cy2", 3).alias("cy2"))
+
+
+@query(_DAYS.format(match="d <= ds"))
+def declared_asof(spark, sf):
+    return _filtered_reader(spark, sf).asof("spend").select("ds", "group_id", "n", F.round("ref_y", 5).alias("ref_y"), F.round("cy2", 3).alias("cy2"))
+
+
+@query(f"""WITH ev AS (SELECT user_id::VARCHAR AS unit_id, user_id, ts, event_type AS event, value FROM events),
+x AS (SELECT unit_id, any_value(user_id) AS u, min(ts) AS fts, min(ts)::DATE AS fd FROM ev WHERE event = 'view' AND ts::DATE BETWEEN DATE '{START}' AND DATE '{EDGE}' GROUP BY 1),
+t AS (SELECT x.unit_id, (u % 3)::VARCHAR AS segment, u // 7 AS cluster, CASE WHEN (u // 7) % 2 = 0 THEN 'control' ELSE 'treatment' END AS group_id,
+  coalesce((SELECT sum(value) FROM ev e WHERE e.unit_id = x.unit_id AND e.event = 'purchase' AND e.ts > fts AND date_diff('day', fd, e.ts::DATE) < 3), 0) AS y FROM x WHERE fd + 2 <= DATE '{EDGE}'),
+c AS (SELECT segment, group_id, cluster, sum(y) AS s, count(*)::DOUBLE AS k FROM t GROUP BY ALL),
+a AS (SELECT segment, group_id, count(*) AS n, avg(s) AS ms, avg(k) AS mk, var_samp(s) AS vs, var_samp(k) AS vk, covar_samp(s, k) AS csk FROM c GROUP BY ALL),
+r AS (SELECT segment, group_id, n, ms / mk AS r, (vs - 2 * ms / mk * csk + pow(ms / mk, 2) * vk) / (n * ms * ms) AS v FROM a)
+SELECT t.segment, t.group_id, round(t.r, 6) AS treatment, round(c.r, 6) AS control, round(t.r / c.r - 1, 6) AS lift, round(sqrt(t.v + c.v), 6) AS se FROM r t JOIN r c ON t.segment = c.segment AND t.group_id = 'treatment' AND c.group_id = 'control' WHERE t.r > 0 AND c.r > 0 AND t.n > 1 AND c.n > 1""")
+def declared_clustered_breakout(spark, sf):
+    """Clusters of seven users, collapsed within each segment."""
+    demo_view(spark, sf)
+    arm = F.when(F.floor(F.col("user_id") / 7) % 2 == 0, "control").otherwise("treatment")
+    spark.table("demo_events").withColumns({"group_id": arm, "house": F.floor(F.col("user_id") / 7)}).createOrReplaceTempView("demo_clustered")
+    d = demo_definitions("demo_clustered")
+    d["experiments"][0]["cluster"] = "house"
+    r = from_definitions(spark, d, "demo").breakout("spend", ["tier"]).filter("treatment > 0 AND control > 0 AND se IS NOT NULL")
+    return r.select("segment", "group_id", *(F.round(c, 6).alias(c) for c in ("treatment", "control", "lift", "se")))
+
+
 @query("SELECT ts::DATE AS period, count(DISTINCT user_id) AS value FROM events WHERE event_type = 'purchase' AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1")
 def declared_trend(spark, sf):
     from ..plans.definitions import load_definitions

@@ -85,12 +85,12 @@ def trend_ratio_week(spark, sf):
     return rounded(C.ratio_values(top, bottom, C.population(facts(spark, sf), spine, _S, _E, "week"), spine))
 
 
-@query(f"""{_EV}, {_spine('week')}, {_values('week')}, pop AS (SELECT unit_id, period FROM (SELECT DISTINCT unit_id FROM ev WHERE user_id % 2 = 0) u, sp), v AS (SELECT unit_id, period, sum(value) AS y FROM pe GROUP BY ALL),
+@query(f"""{_EV}, {_spine('week')}, {_values('week')}, pop AS (SELECT unit_id, period FROM (SELECT DISTINCT c_custkey::VARCHAR AS unit_id FROM customer) u, sp), v AS (SELECT unit_id, period, sum(value) AS y FROM pe GROUP BY ALL),
 a AS (SELECT pop.period, count(*) AS n, avg(coalesce(y, 0)) AS m, count(*) * var_pop(coalesce(y, 0)) AS c FROM pop LEFT JOIN v USING (unit_id, period) GROUP BY 1) SELECT sp.period, period_complete, coalesce(n, 0) AS n, round(m, 6) AS ref_y, round(c / n, 4) AS var FROM sp LEFT JOIN a USING (period)""")
 def trend_static_population(spark, sf):
     spine = C.periods(spark, _S, _E, "week")
     values = C.unit_values(O.unit_day_stats(events_of(spark, sf, "purchase")), spine, "sum", _S, _E, "week")
-    given = facts(spark, sf).filter("user_id % 2 = 0").select("unit_id")
+    given = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("unit_id"))
     m = C.period_moments(values, C.population(facts(spark, sf), spine, _S, _E, "week", given=given), spine, zero_fill=True)
     return m.select("period", "period_complete", "n", F.round("ref_y", 6).alias("ref_y"), F.round(F.col("cy2") / F.col("n"), 4).alias("var"))
 

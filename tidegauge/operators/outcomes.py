@@ -57,12 +57,12 @@ def filters(rows: DataFrame, conditions: list[tuple[str, str, list]]) -> DataFra
     return rows
 
 
-def metric_events(facts: DataFrame, event: str, value: str | None = None, conditions: list[tuple[str, str, list]] | None = None, missing: str = "error", scope: Column | None = None) -> DataFrame:
-    """(unit_id, ts, value) of one fact; null values are refused among the rows in ``scope``, skipped, or taken as 0."""
+def metric_events(facts: DataFrame, event: str, value: str | None = None, conditions: list[tuple[str, str, list]] | None = None, missing: str = "error", scope: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(unit_id, ts, value and the columns to ``keep``) of one fact; null values are refused among the rows in ``scope``, skipped, or taken as 0."""
     rows = filters(facts.filter(F.col("event") == event), conditions or [])
     if value is None:
-        return rows.select("unit_id", "ts", F.lit(1.0).alias("value"))
-    out = rows.select("unit_id", "ts", F.col(value).cast("double").alias("value"))
+        return rows.select("unit_id", "ts", F.lit(1.0).alias("value"), *keep)
+    out = rows.select("unit_id", "ts", F.col(value).cast("double").alias("value"), *keep)
     if missing == "skip":
         return out.filter(F.col("value").isNotNull())
     if missing == "zero":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions.distributions import norm_ppf
 from ..operators import calendar as C
+from ..operators import dims
 from ..operators import outcomes as O
 from .definitions import Definitions, Metric
 
@@ -19,12 +20,25 @@ class MetricTrends:
         self.spark, self.defs, self.unit, self.offset = spark, definitions, unit, offset_minutes
 
     def _facts(self, fact: str) -> DataFrame:
+        """The fact's source with its properties under their names and its dimensions joined."""
         s = self.defs.source_of(fact)
-        return self.spark.sql(s.sql).withColumns({"unit_id": F.col(self.unit).cast("string"), "ts": F.col(s.timestamp_column).cast("timestamp")})
+        out = self.spark.sql(s.sql).withColumns({"unit_id": F.col(self.unit).cast("string"), "ts": F.col(s.timestamp_column).cast("timestamp")})
+        for p in s.properties:
+            out = out if p.column == p.name else out.withColumn(p.name, F.col(p.column))
+        for name in s.dims:
+            d = self.defs.dim_sources[name]
+            frame = self.spark.sql(d.sql)
+            dims.check(frame, d.entity, d.kind)
+            out = {"plain": dims.join_plain, "ranges": dims.join_ranges, "changelog": dims.join_changelog}[d.kind](out, frame, d.entity)
+        return out
 
-    def _events(self, m: Metric, fact: str, value: bool) -> DataFrame:
+    @staticmethod
+    def _filters(m: Metric) -> list[tuple]:
+        return [(c["property"], c["op"], c["values"]) for c in m.filters]
+
+    def _events(self, m: Metric, fact: str, value: bool, by: str | None = None) -> DataFrame:
         f = self.defs.fact(fact)
-        return O.metric_events(self._facts(fact), fact, f.column if value else None, [(c["property"], c["op"], c["values"]) for c in m.filters], f.missing)
+        return O.metric_events(self._facts(fact), fact, f.column if value else None, self._filters(m), f.missing, **({"keep": (by,)} if by else {}))
 
     def metric(self, name: str, grain: str, start: str, end: str | None = None, *, by: str | None = None, population: DataFrame | None = None, window: int | None = None, week_start: str = "monday", alpha: float = 0.05) -> DataFrame:
         m = self.defs.metrics[name]
@@ -36,15 +50,17 @@ class MetricTrends:
         spine = C.periods(self.spark, start, end, grain, week_start, last)
         args = (start, end, grain, week_start)
         if m.type == "active":
-            e = self._facts(m.fact).filter(F.col("event") == m.fact)
+            e = O.filters(self._facts(m.fact).filter(F.col("event") == m.fact), self._filters(m))
             if window:
                 return C.rolling_active_values(e, spine, window, *args, by=(by,) if by else (), offset_minutes=self.offset)
             return C.active_values(e, spine, *args, by=(by,) if by else (), offset_minutes=self.offset)
         if m.type == "total":
-            e = self._events(m, m.fact, m.aggregation != "count")
+            e = self._events(m, m.fact, m.aggregation != "count", by)
+            if window and by:
+                raise EngineError("trends.rolling_by", "rolling totals have no dimension", metric=name)
             if window:
                 return C.rolling_total_values(e, spine, m.aggregation, window, *args, offset_minutes=self.offset)
-            return C.total_values(e, spine, m.aggregation, *args, offset_minutes=self.offset)
+            return C.total_values(e, spine, m.aggregation, *args, by=(by,) if by else (), offset_minutes=self.offset)
         if window:
             raise EngineError("trends.window", "rolling windows are for totals and actives", metric=name)
         members = C.population(self._facts(facts[0]), spine, *args, given=population, offset_minutes=self.offset)
