@@ -117,11 +117,15 @@ class PieceTable:
         letter |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letter[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        self.special, self.ranks, self.size = special, ranks, max([*ranks.values(), *special.values()]) + 1
+        self.special, self.size = special, max([*ranks.values(), *special.values()]) + 1
+        self._take(ranks)
         self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.clear()
 
+    def _take(self, ranks: dict[bytes, int]) -> None:
+        """Keep what the table needs of the vocabulary besides the encoder."""
+
     def values(self, pieces: list[bytes]) -> list[list[int]]:
         """What the table holds of each piece."""
         return [self.encode_piece(p) for p in pieces]
@@ -201,11 +205,14 @@ class PrefixTable(PieceTable):
     def __init__(self, path: str):
         super().__init__(path)
         self.kind = np.uint32
-        self.words = {i: w for w, i in self.ranks.items()}
-        self.tails = {w[k:] for w in self.ranks for k in range(1, len(w))}
-        self.valid: dict[tuple[int, int], bool] = {}
         self.clear()
 
+    def _take(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.words = {i: w for w, i in ranks.items()}
+        self.tails = {w[k:] for w in ranks for k in range(1, len(w))}
+        self.valid: dict[tuple[int, int], bool] = {}
+
     def values(self, pieces: list[bytes]) -> list[list[int]]:
         """Token counts of the prefixes of 1, 2, ... bytes of each piece; in sorted order, a piece goes on from the prefix it shares with the one before."""
         out: list[list[int]] = [[]] * len(pieces)

@@ -76,15 +76,18 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """The rows written to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
+    """The rows written to the shared folder as Parquet and read back: cuts lineage and survives lost executors.
+
+    Without compression: most of it is hashes, and codecs hold direct buffers that only a collection of garbage frees.
+    """
     spark = df.sparkSession
     at = new_path(spark, name, keep)
-    df.write.parquet(at)
+    df.write.option("compression", "snappy" if keep else "none").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 #: Bytes of an Arrow batch: the JVM, the pipe and the Python worker each hold one, so memory follows it and not the text lengths.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

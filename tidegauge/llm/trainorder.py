@@ -109,7 +109,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str | None, length: int):
 def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, length: int = 256, key: int = 20240229, shard_records: int | None = None) -> Shards:
     """Write ``docs`` (doc_id, text) in training order under ``folder`` and return the layout.
 
-    ``shard_records`` defaults to 16,384, more where that would make over 65,536 shards.
+    ``shard_records`` defaults to 8,192, more where that would make over 65,536 shards.
     """
     spark = docs.sparkSession
     here = bpe.table(path or tokenizer_path())
@@ -130,7 +130,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
         base[part] = at_index
         at_index += found[part][0]
     total = at_index
-    per = shard_records or max(1 << 14, 1 << max(0, (-(-total // 65_536) - 1)).bit_length())
+    per = shard_records or max(1 << 13, 1 << max(0, (-(-total // 65_536) - 1)).bit_length())
     layout = Shards(folder, total, length, width, per, key)
     known = spark.sparkContext.broadcast((base, found))
 
