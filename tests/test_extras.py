@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.errors import EngineError
 from tidegauge.functions import families, formula, sequential
-from tidegauge.operators import designs, moments, regress, simulate, winsor
+from tidegauge.operators import designs, moments, regress, segments, simulate, winsor
 from tidegauge.plans import registry
 
 
@@ -83,3 +83,25 @@ def test_absorption_and_checkpoints(spark):
         c.look("2025-01-02", 10_000, 0.1, 0.01)
     e = families.exploratory([{"p": 1e-6, "est": 1.0, "se": 0.1}, {"p": 0.9, "est": 0.0, "se": 1.0}, {"p": None}], 0.1)
     assert [x["selected"] for x in e] == [True, False, False] and e[0]["lb"] < 1 - 1.9 * 0.1
+
+
+def test_bins_of_a_score_are_cut_exactly(spark):
+    rows = spark.range(0, 300_000, 1, 1).withColumn("score", (F.col("id") % 10).cast("double"))
+    assert {r.bin: r["count"] for r in segments.score_bins(rows, 2).groupBy("bin").count().collect()} == {1: 150_000, 2: 150_000}
+    x = np.random.default_rng(1).lognormal(size=200_003).round(4)
+    drawn = spark.createDataFrame([(float(v),) for v in x], "score double")
+    assert segments.cut_points(drawn, 7) == [np.sort(x)[-(-i * len(x) // 7) - 1] for i in range(1, 7)]
+
+
+def test_bins_of_few_missing_and_undefined_scores(spark):
+    odd = spark.createDataFrame([(None,), (1.0,), (float("nan"),), (2.0,), (float("nan"),)], "score double")
+    cuts = segments.cut_points(odd, 4)
+    assert cuts[:2] == [1.0, 2.0] and np.isnan(cuts[2])
+    assert sorted((str(r.score), r.bin) for r in segments.score_bins(odd, 4).collect()) == [("1.0", 1), ("2.0", 2), ("None", 1), ("nan", 3), ("nan", 3)]
+    assert segments.cut_points(odd, 1) == segments.cut_points(odd.limit(0), 3) == [] and segments.score_bins(odd.limit(0), 3).count() == 0
+
+
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(segments, "_SKETCH", 3)
+    x = np.random.default_rng(2).permutation(5_000)
+    assert segments.cut_points(spark.createDataFrame([(int(v),) for v in x], "score int"), 3) == [1666, 3333]

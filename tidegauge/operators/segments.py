@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,50 @@ def segment_contrasts(effects: DataFrame, segment: str = "segment") -> DataFrame
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (F.col("ea") - F.col("eb")).alias("diff"), F.sqrt(F.col("va") + F.col("vb")).alias("se"))
 
 
+#: Accuracy of the sketch that brackets a cut point.
+_SKETCH = 100_000
+
+
+def cut_points(scored: DataFrame, bins: int) -> list:
+    """The least scores that at least i/bins of the scored rows don't exceed, exactly (no global sort; NaN comes last).
+
+    A sketch brackets each cut; the rows below the bracket are counted, and those in it by score: four hundred-thousandths of
+    the rows a cut reach the driver at most, ties as one.  A bracket that misses its rank is widened, at last to all scores.
+    """
+    score, margin = F.col("score"), 2 / _SKETCH
+    n, defined = scored.agg(F.count("score"), F.count_if(score.isNotNull() & ~F.isnan("score"))).first()
+    ranks = [-(-i * n // bins) for i in range(1, bins)]
+    sought = [r for r in ranks if 0 < r <= defined]
+    undefined = [float("nan")] * sum(r > defined for r in ranks)
+    scored = scored.filter(score.isNotNull() & ~F.isnan("score"))
+    while sought:
+        shares = [x for r in sought for x in (max(0.0, r / defined - margin), min(1.0, r / defined + margin))]
+        ends = F.percentile_approx("score", shares, _SKETCH) if margin < 1 else F.array(*[F.min("score"), F.max("score")] * len(sought))
+        ends = scored.agg(ends.alias("q")).first().q
+        brackets = list(zip(ends[::2], ends[1::2], strict=True))
+        inside = reduce(lambda x, y: x | y, (score.between(F.lit(a), F.lit(b)) for a, b in brackets))
+        below = [F.count_if(score < F.lit(a)).alias(f"below_{k}") for k, (a, _) in enumerate(brackets)]
+        rows = scored.groupBy(F.when(inside, score).alias("score")).agg(F.count("*").alias("rows"), *below).collect()
+        values = sorted((r.score, r.rows) for r in rows if r.score is not None)
+        cuts = []
+        for k, ((a, b), rank) in enumerate(zip(brackets, sought, strict=True)):
+            upto = sum(r[f"below_{k}"] for r in rows)
+            for value, many in values:
+                if upto < rank and a <= value <= b:
+                    upto += many
+                    if upto >= rank:
+                        cuts.append(value)
+        if len(cuts) == len(sought):
+            return cuts + undefined
+        margin *= 100
+    return undefined
+
+
 def score_bins(scored: DataFrame, bins: int) -> DataFrame:
-    """Rows with ``bin``: by cut points of the score at equal shares (no global sort)."""
-    cuts = scored.agg(F.percentile_approx("score", [i / bins for i in range(1, bins)], 100_000).alias("cuts"))
-    return scored.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("score"))) + 1).drop("cuts")  # one row
+    """Rows with ``bin``: by exact cut points of the score at equal shares; a row without a score is in the first."""
+    cuts = cut_points(scored, bins)
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    return scored.withColumn("bin", above + 1)
 
 
 def bin_effects(scored: DataFrame, bins: int, control: str) -> DataFrame:
