@@ -140,6 +140,32 @@ def test_same_key_same_order_and_empty_input(spark, tmp_path):
     assert empty.sequences == 0 and trainorder.shard_rows(spark, empty).count() == 0
 
 
+def test_code_of_any_ids():
+    rng = np.random.default_rng(4)
+    for size, kind in ((50_257, np.uint16), (300, np.uint16), (100_000, np.uint32)):
+        ids = np.concatenate([np.arange(size), rng.zipf(1.3, 5_000) % size]).astype(kind)
+        starts = np.concatenate([[0, 0], np.sort(rng.integers(0, len(ids), 50)), [len(ids)]])
+        for often in (np.bincount(ids[size:], minlength=size), np.zeros(size, np.int64)):
+            code = trainorder.Code.of(often)
+            columns = [trainorder._binary(*c) for c in code.encoder()(ids, starts)]
+            for a, b in ((0, len(starts) - 1), (0, 1), (7, 20)):  # rows of a column that is a slice, too
+                lead, second, whole = (trainorder._bytes(c.slice(a, b - a), k)[0] for c, k in zip(columns, ("u1", "u1", np.dtype(kind).str), strict=True))
+                assert code.decoder(np.dtype(kind))(lead, second, whole).tolist() == ids[starts[a] : starts[b]].tolist()
+
+
+def test_the_shuffle_is_smaller_than_the_shards(spark, tmp_path):
+    store, lists = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList
+
+    def shuffled():
+        stages = store.stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), lists())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    docs = common.written(common.read(spark, "/root/testdata/sf0.01", "documents"), "in")
+    before = shuffled()
+    s = trainorder.write_shards(docs, str(tmp_path / "shards"))
+    assert 0 < shuffled() - before < 0.62 * s.sequences * s.stride
+
+
 def test_a_text_of_more_distinct_pieces_than_the_cache_holds(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 64)
     monkeypatch.setattr(bpe, "_ENCODED", 100)

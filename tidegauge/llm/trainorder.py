@@ -4,6 +4,7 @@ Every document is encoded and cut into sequences of ``length`` tokens (the last
 densely by (input partition, position), and a keyed Feistel permutation with cycle-walking maps each number to its global
 slot.  Slots are range-partitioned: shard k holds slots [k*S, (k+1)*S) in order, one file of fixed-stride records, so that
 record s lies at byte (s mod S) * stride of shard s div S.  Two passes over the input: counts first, then the shuffle.
+The shuffle carries no padding and frequent ids as one byte (``Code``); records are made of it where shards are written.
 
 Record: doc_id int64, sequence number int32, token count int32, ``length`` token ids (uint16, or uint32 for a vocabulary
 over 65,536), line feed; little-endian.  Padding repeats the end-of-text id.
@@ -96,6 +97,75 @@ def _sequences(column: pa.Array, tokens: bpe.PieceTable, length: int):
         yield a, ids, np.diff(upto)
 
 
+#: One-byte codes; those that begin a code of two bytes; then there is one for ids that are written out.
+_SINGLE, _DOUBLE = 224, 31
+_ESCAPE = _SINGLE + _DOUBLE
+
+
+@dataclass(frozen=True)
+class Code:
+    """Ids as bytes: a leading one for each, a second one for the less frequent, whole ids for the rest; any id has a code.
+
+    ``order`` is ids by falling frequency; it decides how long codes are, and nothing else.
+    """
+
+    order: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Code:
+        return cls(np.argsort(-counts, kind="stable")[: _SINGLE + (_DOUBLE << 8)].astype(np.uint32), len(counts))
+
+    def encoder(self):
+        rank = np.arange(len(self.order)) - _SINGLE
+        first, second = np.full(self.size, _ESCAPE, np.uint8), np.zeros(self.size, np.uint8)
+        first[self.order] = np.where(rank < 0, rank + _SINGLE, _SINGLE + (rank >> 8))
+        second[self.order] = rank & 255
+
+        def encode(ids: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            """(values, offsets) of leading bytes, second bytes, whole ids of the sequences between ``starts``."""
+            lead = first[ids]
+            out = [(lead, starts)]
+            for which, values in (((lead >= _SINGLE) & (lead < _ESCAPE), second), (lead == _ESCAPE, None)):
+                at = np.flatnonzero(which)
+                out.append((ids[at] if values is None else values[ids[at]], np.searchsorted(at, starts)))
+            return out
+
+        return encode
+
+    def decoder(self, kind: np.dtype):
+        known = np.zeros(_SINGLE + (_DOUBLE << 8), kind)
+        known[: len(self.order)] = self.order
+
+        def decode(lead: np.ndarray, second: np.ndarray, whole: np.ndarray) -> np.ndarray:
+            ids = known[lead]
+            at = np.flatnonzero((lead >= _SINGLE) & (lead < _ESCAPE))
+            ids[at] = known[_SINGLE + ((lead[at].astype(np.int64) - _SINGLE) << 8) + second]
+            ids[lead == _ESCAPE] = whole
+            return ids
+
+        return decode
+
+
+def _surveyed(part: int) -> bool:
+    """Whether an input partition reports how frequent its ids are: the first 32 and 16 of each power of two after."""
+    low = max(0, part.bit_length() - 5)
+    return part >> low << low == part
+
+
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, bytes of each) of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return raw.copy().view(kind), np.diff(ends)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], path: str | None, length: int):
     """(doc ids, ids, tokens per row, sequences per row) of each chunk; without ``path``, by the tokenizer file of this machine."""
     tokens = bpe.table(path or tokenizer_path())
@@ -116,15 +186,27 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
     eot, width = next(iter(here.special.values()), 0), here.pool.dtype.itemsize
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
+    size = here.size
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, digest = 0, 0
-        for keys, _, counts, made in _counted(batches, path, length):
+        total, digest, part = 0, 0, TaskContext.get().partitionId()
+        often = np.zeros(size, np.int64)
+        for keys, ids, counts, made in _counted(batches, path, length):
             total += int(made.sum())
             digest = zlib.crc32(counts.astype("<i8").tobytes(), zlib.crc32(keys.astype("<i8").tobytes(), digest))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "made": [total], "digest": [digest]})
+            if _surveyed(part):
+                often += np.bincount(ids, minlength=size)
+        top = Code.of(often).order
+        top = top[often[top] > 0]
+        yield pa.RecordBatch.from_pydict({"part": [part], "made": [total], "digest": [digest], "ids": [top.astype("<u4").tobytes()], "often": [often[top].astype("<i8").tobytes()]})
 
     # one row per input partition
-    found = {r.part: (r.made, r.digest) for r in source.transform(bounded_batches).mapInArrow(released(measure), "part long, made long, digest long").collect()}
+    rows = source.transform(bounded_batches).mapInArrow(released(measure), "part long, made long, digest long, ids binary, often binary").collect()
+    found = {r.part: (r.made, r.digest) for r in rows}
+    often = np.zeros(size, np.int64)
+    for r in rows:
+        often[np.frombuffer(r.ids, "<u4")] += np.frombuffer(r.often, "<i8")
+    code = Code.of(often)
     base, at_index = {}, 0
     for part in sorted(found):
         base[part] = at_index
@@ -132,35 +214,45 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, lengt
     total = at_index
     per = shard_records or max(1 << 13, 1 << max(0, (-(-total // 65_536) - 1)).bit_length())
     layout = Shards(folder, total, length, width, per, key)
-    known = spark.sparkContext.broadcast((base, found))
+    known = spark.sparkContext.broadcast((base, found, code))
+    kind = np.dtype([("doc", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", f"<u{width}", (length,))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        bases, were = known.value
+        bases, were, code = known.value
+        encode = code.encoder()
         index, digest = bases.get(part, 0), 0
-        kind = np.dtype([("doc", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", f"<u{width}", (length,))])
         for keys, ids, counts, made in _counted(batches, path, length):
             digest = zlib.crc32(counts.astype("<i8").tobytes(), zlib.crc32(keys.astype("<i8").tobytes(), digest))
             n = int(made.sum())
             seq = np.arange(n) - np.repeat(np.cumsum(made) - made, made)
-            record = np.empty(n, kind)
-            record["doc"], record["seq"] = np.repeat(keys, made), seq
-            record["n"] = np.minimum(length, np.repeat(counts, made) - seq * length)
-            body = np.full(n * length, eot, f"<u{width}")
-            pad = np.repeat((np.cumsum(made) - made) * length - (np.cumsum(counts) - counts), counts)
-            body[np.arange(len(ids)) + pad] = ids
-            record["ids"] = body.reshape(n, length)
+            held = np.minimum(length, np.repeat(counts, made) - seq * length)
+            coded = encode(ids, np.concatenate([[0], np.cumsum(held)]))
             slot = feistel(np.arange(index, index + n), total, key)
             index += n
-            raw = pa.py_buffer(record.tobytes())
-            offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * kind.itemsize).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per), pa.array(slot), pa.Array.from_buffers(pa.binary(), n, [None, offsets, raw])], ["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.repeat(keys, made)), pa.array(seq.astype(np.int32)), *(_binary(*c) for c in coded)], ["slot", "doc", "seq", "lead", "second", "whole"])
         if (index - bases.get(part, 0), digest) != were.get(part, (0, 0)):
             raise RuntimeError(f"input partition {part} differs between the passes; write the input to a table first")
 
-    placed = source.transform(bounded_batches).mapInArrow(released(place), "shard long, slot long, record binary")
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = known.value[2].decoder(np.dtype(f"<u{width}"))
+        for batch in batches:
+            n = len(batch)
+            lead, counts = _bytes(batch.column("lead"), "u1")
+            record = np.empty(n, kind)
+            record["doc"], record["seq"], record["n"] = batch.column("doc"), batch.column("seq"), counts
+            body = np.full(n * length, eot, f"<u{width}")
+            pad = np.arange(n) * length - (np.cumsum(counts) - counts)
+            body[np.arange(len(lead)) + np.repeat(pad, counts)] = decode(lead, _bytes(batch.column("second"), "u1")[0], _bytes(batch.column("whole"), f"<u{width}")[0])
+            record["ids"] = body.reshape(n, length)
+            slot = batch.column("slot").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per), pa.array(slot), _binary(record.view(np.uint8), np.arange(n + 1) * kind.itemsize)], ["shard", "slot", "record"])
+
+    placed = source.transform(bounded_batches).mapInArrow(released(place), "slot long, doc long, seq int, lead binary, second binary, whole binary")
     parts = max(1, min(layout.shards, 1 << 16))
-    ranged = placed.repartitionById(parts, (F.col("shard") * parts / max(1, layout.shards)).cast("int"))
+    ranged = placed.repartitionById(parts, (F.expr(f"slot div {per}") * parts / max(1, layout.shards)).cast("int"))
+    # records before the sort, so that their order is the files'
+    ranged = ranged.mapInArrow(released(records), "shard long, slot long, record binary")
     (
         ranged.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
         .write.mode("overwrite").option("lineSep", "\n").option("compression", "none").partitionBy("shard").text(folder)
