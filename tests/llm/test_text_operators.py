@@ -228,6 +228,34 @@ def test_prefixes_are_shortened_to_the_target(spark, corpus):
     assert 2 * sum(report["links"].values()) == sum(map(len, pairs.values()))
 
 
+def test_few_rows_are_written_to_few_files(spark):
+    from pathlib import Path
+
+    from tidegauge.llm.common import PARTITIONS, Intermediates
+
+    rng = random.Random(11)
+    base = [sentence(rng, 60) for _ in range(150)]
+    docs = spark.createDataFrame([(2 * i + k, t + " zü" * k) for i, t in enumerate(base) for k in range(2)], "doc_id long, text string").repartition(4).localCheckpoint()
+    expected = sorted(neardup.near_duplicates(docs).collect())
+    hard = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hard}
+    least = max(PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+    try:
+        for k, v in hard.items():
+            spark.conf.set(k, v)
+        with Intermediates() as own:
+            got = neardup.near_duplicates(docs)
+            assert got.rdd.getNumPartitions() <= least < 64
+            files = [(Path(at).name.rsplit("-", 1)[0], len(list(Path(at.removeprefix("file:")).glob("part-*")))) for at in own.made]
+            assert sorted(got.collect()) == expected and any(r.n_texts for r in expected)
+            own.drop(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"texts", "forest", "wanted", "stars", "edges", "labels", "classes"} <= {name for name, _ in files}
+    assert all(0 < n <= least for _, n in files), files
+
+
 def test_recall_against_the_exact_join(spark):
     """Links between different texts of sf0.01 by similarity, against all pairs that share a shingle."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import bounded_batches, read, released, text_key, without, written
+from .common import bounded_batches, gathered, read, released, text_key, without, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -41,6 +41,8 @@ DEEPEST = 5
 RECALL = 0.999
 #: Texts, and bytes of shingles, of a tile.
 TILE, TILE_BYTES = 512, 8 << 20
+#: Rows of tiles that a task verifies at least, where there are more tasks than twice the cores.
+TASK_ROWS = 2048
 #: Bins of the similarities between the threshold and 1 in which links are counted.
 BINS = 20
 #: Texts whose shingles are fetched by a broadcast of their keys (of 16 bytes); more are fetched by a shuffle.
@@ -230,19 +232,20 @@ def _verified(tiles: DataFrame, trees: int, deepest: int, depth: int, threshold:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's connected component; ``edges`` has u and v."""
-    both = written(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    most = 2 * edges.count()
+    both = written(gathered(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct(), most), "edges")
+    labels = written(gathered(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"), most), "labels")
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         low = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        labels = written(low.join(jump, low["label"] == jump["at"]).select("node", "old", F.least("label", "further").alias("label")), "labels")
+        labels = written(gathered(low.join(jump, low["label"] == jump["at"]).select("node", "old", F.least("label", "further").alias("label")), most), "labels")
         if not labels.filter("old <> label").limit(1).count():
             return labels.select("node", "label")
 
 
-def _level(docs: DataFrame, texts: DataFrame, forest: DataFrame, depth: int, width: int, threshold: float, trees: int, deepest: int) -> DataFrame:
-    """`_verified` tiles of the nodes at ``depth`` whose pairs haven't all been met deeper down."""
+def _level(docs: DataFrame, texts: DataFrame, forest: DataFrame, most: int, depth: int, width: int, threshold: float, trees: int, deepest: int) -> DataFrame:
+    """`_verified` tiles of the nodes at ``depth`` whose pairs haven't all been met deeper down; ``forest`` has ``most`` rows at most."""
     upto = lambda d: F.xxhash64(F.substring("label", 1, 4 * d))
     placed = forest.select("digest", "n_words", "tree", upto(depth).alias("node"), upto(depth + 1).alias("child"))
     nodes = placed.groupBy("tree", "node").agg(
@@ -250,9 +253,10 @@ def _level(docs: DataFrame, texts: DataFrame, forest: DataFrame, depth: int, wid
     once = nodes.groupBy("n", "words", "members").agg(F.min(F.struct("tree", "node")).alias("at"), F.min("joins").alias("joins"))
     once = once if depth == deepest else once.filter("joins")
     parts = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("words") * 8 / TILE_BYTES)).cast("int")
-    held = written(placed.select("tree", "node", "digest").join(once.select("at.tree", "at.node", parts.alias("parts")), ["tree", "node"]), "trie-nodes")
+    held = written(gathered(placed.select("tree", "node", "digest").join(once.select("at.tree", "at.node", parts.alias("parts")), ["tree", "node"]), most), "trie-nodes")
+    members, dealt_rows = held.agg(F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
     wanted = held.select("digest").distinct().join(texts, "digest").select("digest", "copies", "signature", "doc_id", "key")
-    wanted = written(wanted, "wanted")
+    wanted = written(gathered(wanted, members), "wanted")
     keys = wanted.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"))
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_TEXTS else keys
     texts_of = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -262,7 +266,7 @@ def _level(docs: DataFrame, texts: DataFrame, forest: DataFrame, depth: int, wid
     dealt = held.withColumn("part", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("tree", "node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "digest")
     tiles = dealt.join(wanted.select("digest", "copies", "signature"), "digest").join(sets, "digest")
-    return written(_verified(tiles, trees, deepest, depth, threshold), "stars")
+    return written(gathered(_verified(tiles, trees, deepest, depth, threshold), dealt_rows, TASK_ROWS), "stars")
 
 
 def near_duplicates(
@@ -272,11 +276,12 @@ def near_duplicates(
     linked with, copies included), n_texts (different texts it is linked with); key and keep_key are the hashes of the row's
     text and of the class's smallest row's.  ``report`` gets the depth reached, the links by similarity and the estimated recall."""
     signed = written(signatures(docs, width, trees, deepest), "signatures")
+    rows = signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    texts = written(
+    texts = written(gathered(
         signed.filter("digest IS NOT NULL").groupBy("digest")
         .agg(F.count("*").alias("copies"), first.alias("first"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"))
-        .select("digest", "copies", "first.doc_id", "first.key", "n_words", "signature"), "texts")
+        .select("digest", "copies", "first.doc_id", "first.key", "n_words", "signature"), rows), "texts")
     paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr(F.col("signature"), t * (deepest * 4) + 1, F.lit(deepest * 4)))
     leaves = texts.select("digest", "n_words", F.posexplode(paths).alias("tree", "label"))
     # no prefix is shortened beyond this one, so a label that shares it with no other is in no node
@@ -284,10 +289,10 @@ def near_duplicates(
     rooted = leaves.withColumn("root", F.xxhash64(F.substring("label", 1, 4 * shallowest)))
     shared = rooted.groupBy("tree", "root").count().filter("count > 1").select("tree", "root")
     forest = rooted.join(shared, ["tree", "root"], "left_semi").drop("root")
-    forest = written(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "forest")
+    forest = written(gathered(forest.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), rows * trees), "forest")
     stars, links = None, {}
     for depth in range(deepest, shallowest - 1, -1):
-        found = _level(docs, texts, forest, depth, width, threshold, trees, deepest)
+        found = _level(docs, texts, forest, rows * trees, depth, width, threshold, trees, deepest)
         for r in found.filter("digest IS NULL").groupBy("bin").agg(F.sum("texts").alias("n")).collect():  # BINS rows
             s = threshold + (1 - threshold) * r.bin / BINS
             links[s] = links.get(s, 0) + r.n
@@ -307,11 +312,11 @@ def near_duplicates(
     settled = base.join(linked, "digest", "left").select(
         F.col("digest").alias("d"), F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_id"), F.coalesce("keep.key", "key").alias("keep_key"), F.coalesce("class_size", "copies").alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
-    settled = written(settled, "classes")
+    settled = written(gathered(settled, rows), "classes")
     some = signed.filter("digest IS NOT NULL").select("doc_id", "digest", "key")
     out = some.join(settled, F.col("digest") == F.col("d")).select("doc_id", "class_id", "class_size", "n_links", "n_texts", "key", "keep_key")
     none = signed.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"), "key", F.col("key").alias("keep_key"))
-    return out.union(none)
+    return gathered(out.union(none), rows)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
